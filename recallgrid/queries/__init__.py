@@ -1,7 +1,6 @@
 """All queries outside the text subpackage, with their SQL."""
 
-from .problems import QUERIES as _PROBLEMS
-from .problems_sql import ORACLE as _PROBLEMS_SQL
+from . import problems, problems_sql, retrieval
 
-QUERIES = {**_PROBLEMS}
-ORACLE: dict[str, str] = {**_PROBLEMS_SQL}
+QUERIES = {**problems.QUERIES, **retrieval.QUERIES}
+ORACLE: dict[str, str] = {**problems_sql.ORACLE, **retrieval.ORACLE}

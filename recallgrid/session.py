@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,10 +30,29 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, unless their Python finds it already (PYTHONPATH or working folder)."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    seen = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if getattr(ship, "_done", None) == sc.applicationId or root in seen or os.getcwd() == root:
+        return
+    ship._done = sc.applicationId
+    at = os.path.join(tempfile.mkdtemp(prefix="recallgrid-ship-"), "recallgrid.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "recallgrid")):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(at)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder. Times carry no zone and are read as UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
