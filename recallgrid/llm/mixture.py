@@ -76,7 +76,8 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: i
     sized = docs.select(F.col("doc_id"), _source("source").alias("source"), F.col("text")).filter("text is not null and text <> ''")
     sized = sized.join(F.broadcast(wanted), "source", "left_semi").select("doc_id", "source", count_column(spark, F.col("text"), vocabulary).alias("tokens"))
     place = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sized = scratch.cut(sized.filter("tokens > 0").withColumn("place", place))
+    # filtered after the cut: a filter on the count would have it made twice
+    sized = scratch.cut(sized.withColumn("place", place)).filter("tokens > 0")
     n = sized.count()
     ranges = max(1, n // 50_000)
     sized = sized.withColumn("range", F.floor((F.col("place").cast("double") + 9.223372036854775808e18) / 1.8446744073709551616e19 * ranges).cast("int"))
