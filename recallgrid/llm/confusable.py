@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 # Letters of other scripts that look like a Latin letter, in the order of the Latin ones.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеһіјӏорԛѕсухԝԁ", "ABESIJKMHOPCTYXYGQWaehijlopqscyxwd"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳ", "ABEZHIKMNOPTYXovj"))
@@ -142,22 +144,37 @@ def one_form(df: DataFrame, text: str, out: str = "form") -> DataFrame:
     return df.withColumn(out, form_column(F.col(text)))
 
 
-def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, class_id, n_spellings): rows whose text has a look-alike, with the smallest key that looks the same.
+def digest_column(text: Column) -> Column:
+    """SHA-256 of the one form; null for null texts and for those without a letter or digit."""
 
-    Digests of the form and of the text travel, not the texts; groups are
-    reduced map-side before they are joined back, so a text that a third of all
-    rows share costs one row per map task.
-    """
-    d = _digests(df, key, text)
-    g = d.groupBy("f").agg(F.min("k").alias("class_id"), F.approx_count_distinct("t").alias("n_spellings"), F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b")
-    return d.join(g, "f").select(F.col("k").alias(key), "class_id", "n_spellings")
+    @F.arrow_udf("binary")
+    def digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import hashlib
+
+        f = former().form
+        for batch in batches:
+            forms = [f(t) for t in batch.to_pylist()]
+            yield pa.array([hashlib.sha256(t.encode()).digest() if t is not None and any(map(str.isalnum, t)) else None for t in forms], pa.binary())
+
+    return digests(text)
 
 
 def _digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    full = df.select(F.col(key).alias("k"), F.col(text).alias("x")).filter("x is not null")
-    full = full.select("k", F.sha2("x", 256).alias("t"), form_column(F.col("x")).alias("y"))
-    return full.filter(F.col("y").rlike(r"[\p{L}\p{N}]")).select("k", "t", F.sha2("y", 256).alias("f"))
+    """(k, t, f): key, digest of the text, digest of its form, written once; the texts stay where they are."""
+    d = df.select(F.col(key).alias("k"), F.unhex(F.sha2(text, 256)).alias("t"), digest_column(F.col(text)).alias("f"))
+    # filtered after the cut: a filter on the digest would have it made twice
+    return Scratch(df.sparkSession, "forms").cut(d).filter("f is not null and k is not null")
+
+
+def look_alikes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_id, n_rows): rows whose text has a look-alike, with the smallest key that looks the same.
+
+    Groups are reduced map-side before they are joined back, so a text that a
+    third of all rows share costs one row per map task.
+    """
+    d = _digests(df, key, text)
+    g = d.groupBy("f").agg(F.min("k").alias("class_id"), F.count(F.lit(1)).alias("n_rows"), F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b")
+    return d.join(g, "f").select(F.col("k").alias(key), "class_id", "n_rows")
 
 
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
