@@ -65,37 +65,59 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
-def pagerank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, cut_every: int = 5) -> DataFrame:
+#: Merged edges of a graph that is ranked in memory at most (two ids and a weight each, some 10 MB).
+FEW_EDGES = 100_000
+
+
+def pagerank(edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING, few_edges: int = FEW_EDGES) -> DataFrame:
     """(node, pagerank): weights of 0 or less count 1, dangling mass is spread evenly, uniform start.
 
-    Parallel edges are merged and normalised once and stay partitioned by
-    source; each step joins the ranks to them and aggregates map-side by target.
-    The ranks are written to the shared folder every few steps, which also
-    bounds the plan.
+    Parallel edges are merged and normalised once. A graph of at most
+    ``few_edges`` merged edges (counted) is ranked in memory; a larger one by
+    joins: each step joins the ranks to the edges, sums map-side by target and
+    writes the sums, which bounds the plan. Both give the same ranks.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "pagerank")
-    e = edges.filter("src is not null and dst is not null").select("src", "dst", F.when(F.col("weight") <= 0, 1.0).otherwise(F.col("weight")).alias("w"))
-    e = e.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    e = edges.filter("src is not null and dst is not null").select("src", "dst", F.when(F.col("weight") <= 0, 1.0).otherwise(F.coalesce("weight", F.lit(1.0))).alias("w"))
+    e = scratch.cut(e.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    n_edges = e.count()
+    if not n_edges:
+        return spark.createDataFrame([], "node string, pagerank double")
+    if n_edges <= few_edges:
+        return _pagerank_small(e, iterations, damping)
     total = e.groupBy("src").agg(F.sum("w").alias("t"))
     e = scratch.cut(e.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     nodes = scratch.cut(nodes.join(e.select(F.col("src").alias("node")).distinct().withColumn("out", F.lit(True)), "node", "left"))
     n = nodes.count()
-    if not n:
-        return spark.createDataFrame([], "node string, pagerank double")
-    rank = nodes.select("node", "out", F.lit(1.0 / n).alias("r"))
-    for i in range(1, iterations + 1):
-        flow = e.join(rank.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("p")).alias("x"))
-        lost = rank.filter("out is null").agg(F.coalesce(F.sum("r"), F.lit(0.0)).alias("lost"))
-        nxt = nodes.join(flow, "node", "left").join(F.broadcast(lost))
-        r = (1 - damping) / n + damping * (F.col("lost") / n + F.coalesce("x", F.lit(0.0)))
-        rank = nxt.select("node", "out", r.alias("r"))
-        if i % cut_every == 0 and i < iterations:
+    rank, before = nodes.select("node", "out", F.lit(1.0 / n).alias("r")), None
+    for i in range(iterations):
+        if i:
             rank = scratch.cut(rank)
+        lost = rank.filter("out is null").agg(F.sum("r")).first()[0] or 0.0
+        flow = e.join(rank.select(F.col("node").alias("src"), "r"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("r") * F.col("p")).alias("x"))
+        r = (1 - damping) / n + damping * (F.lit(lost / n) + F.coalesce("x", F.lit(0.0)))
+        if before is not None:
+            scratch.drop(before)
+        before, rank = rank if i else None, nodes.join(flow, "node", "left").select("node", "out", r.alias("r"))
     return rank.select("node", F.col("r").alias("pagerank"))
 
 
+def _pagerank_small(e: DataFrame, iterations: int, damping: float) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    rows = e.toPandas()
+    codes, names = pd.factorize(pd.concat([rows["src"], rows["dst"]]))
+    s, d, w, n = codes[: len(rows)], codes[len(rows) :], rows["w"].to_numpy(float), len(names)
+    out = np.bincount(s, w, n)
+    p, r = w / out[s], np.full(n, 1 / n)
+    for _ in range(iterations):
+        r = (1 - damping) / n + damping * (r[out == 0].sum() / n + np.bincount(d, r[s] * p, n))
+    return e.sparkSession.createDataFrame(pd.DataFrame({"node": names, "pagerank": r}))
+
+
 def shortest_path(edges: DataFrame, src: str, dst: str, most_hops: int = 64) -> list[str] | None:
     """A shortest directed path, the smallest by its nodes among equals; None if there is none.
 

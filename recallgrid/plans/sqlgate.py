@@ -21,6 +21,10 @@ EPISODIC, COGNITION = {"episodic", "sessions"}, {"memories", "memory_edges", "me
 _PATH = re.compile(r"^(?:parquet|json|csv|text|orc|avro|binaryfile|delta|jdbc|xml)$", re.I)
 
 
+#: Expressions of Spark's parser that hold a plan (fixed values).
+_WITH_PLAN = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "FunctionTableSubqueryArgumentExpression")
+
+
 class Rejected(ValueError):
     """SQL that isn't allowed."""
 
@@ -38,7 +42,7 @@ def _walk(plan):
         kids += [t._2() for t in _seq(plan.cteRelations())]
     for e in _seq(plan.expressions()):
         for x in _expressions(e):
-            if hasattr(x, "plan") and "Subquery" in x.getClass().getSimpleName() or x.getClass().getSimpleName() in ("Exists", "ListQuery", "LateralSubquery"):
+            if x.getClass().getSimpleName() in _WITH_PLAN:
                 kids.append(x.plan())
     for k in kids:
         yield from _walk(k)
