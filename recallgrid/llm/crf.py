@@ -137,7 +137,9 @@ def viterbi(em: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.ndarra
     for k in range(1, t):
         step = best[:, :, None] + trans
         back[:, k] = step.argmax(1)
-        best = np.where((k < lengths)[:, None], step.max(1) + em[:, k], best)
+        nxt = step.max(1) + em[:, k]
+        # only differences matter; without this, long texts would outgrow the precision
+        best = np.where((k < lengths)[:, None], nxt - nxt.max(1, keepdims=True), best)
     out = np.zeros((b, t), np.int8)
     rows = np.arange(b)
     last = best.argmax(1).astype(np.int8)

@@ -114,10 +114,11 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: i
     out = line.select("doc_id", "source", F.col("copy"), F.size(F.filter("ends", lambda e: e <= seat)).alias("shard"), "tokens")
 
     mixed = out.groupBy("source").agg(F.sum("tokens").alias("mixed"), F.max(F.col("copy") + 1).alias("most_copies"))
-    whole = mixed.agg(F.sum("mixed").alias("whole"))
     stock = per.groupBy("source").agg(F.sum("sum").alias("available"), F.sum("n").alias("documents"))
     goal_df = spark.createDataFrame([(s, float(v), int(r)) for s, (v, r) in goals.items()], "source string, target_share double, max_repeats int")
-    report = goal_df.join(stock, "source", "left").join(mixed, "source", "left").join(F.broadcast(whole), how="full").select(
+    report = goal_df.join(stock, "source", "left").join(mixed, "source", "left")
+    # one row per target, at most MAX_SOURCES
+    report = report.withColumn("whole", F.sum("mixed").over(Window.partitionBy(F.lit(1)))).select(
         "source",
         "target_share",
         "max_repeats",

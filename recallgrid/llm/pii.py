@@ -197,7 +197,7 @@ def redact(text: str, finds: list[tuple[int, int, str]]) -> str:
 
 def text_fields(payload: str | None, fields: frozenset = TEXT_FIELDS, array_fields=frozenset(ARRAY_FIELDS)) -> list[tuple[str, str]]:
     """(path, text) of the free texts of a payload."""
-    if payload is None or ("\\u" not in payload and not any(f'"{f}"' in payload for f in fields)):
+    if payload is None or ("\\u" not in payload and not any(f in payload for f in fields)):
         return []
     out, stack = [], [(unwrap(parse(payload)), "")]
     while stack:
@@ -238,12 +238,15 @@ def _run(model, places: str, what: str):
             for i, x in zip(pdf["row_id"], pdf["x"]):
                 for p, t in reach(x):
                     rid.append(i), place.append(p), text.append(t)
+            if not text:
+                continue
             found = tagger.find(text)
             if what == "redact":
                 yield pd.DataFrame({"row_id": rid, "place": place, "text": [redact(t, f) for t, f in zip(text, found)], "n_found": [len(f) for f in found]})
                 continue
             rows = [(rid[j], place[j], k, text[j][a:b]) for j, f in enumerate(found) if f for a, b, k in f]
-            yield pd.DataFrame(rows, columns=["row_id", "place", "pii_type", "surface"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["row_id", "place", "pii_type", "surface"])
 
     return run
 
