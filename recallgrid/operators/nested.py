@@ -179,7 +179,8 @@ def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool):
                                 stack.append((x, p, name, up, own, ""))
                             elif columns and x is not None:
                                 add(i, name, "value", p, up, {"value": x if t is str else json.dumps(x)})
-            yield pd.DataFrame(out if columns else {k: v for k, v in out.items() if k != "columns"})
+            if rid:
+                yield pd.DataFrame(out if columns else {k: v for k, v in out.items() if k != "columns"})
 
     return run
 
