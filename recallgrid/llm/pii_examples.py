@@ -167,6 +167,7 @@ Dr. mode off
 Mr. mode on
 el índice quedó vacío
 quota 999 of 999 used
+quota 666 of 999 used
 avenue of attack: the parser
 schema v9@main
 {plain} period begins soon, adapt the schedule.
@@ -182,6 +183,8 @@ on a relancé l'agent deux fois
 we kept 9 street tiles in cache
 mounted 9 Drive letters
 {plain} and {plain} are only theme names
+{plain} and {plain} are only theme names
+{plain} and {plain} share a folder
 Unit 9 test passed
 Suite 99 is green
 {plain} tiles load fine in the map view.
@@ -309,12 +312,12 @@ class Maker:
             if r.random() < 0.15:
                 n = n.replace(" ", "")
         elif kind == 2:
-            label, n = r.choice(["Steuer-ID ", "Steuer-ID: ", "tax id ", "id card no. ", "IdNr. "]), r.choice(["99 999 999 999", "99999999999"])
+            label, n = r.choice(["Steuer-ID ", "Steuer-ID: ", "tax id ", "tax number ", "id card no. ", "IdNr. "]), r.choice(["99 999 999 999", "99999999999"])
         elif kind == 3:
             x = r.choice("ABCDFMPUXYZ")
             label, n = r.choice(["", "NINO ", "national insurance ", "NI number "]), r.choice([f"QQ 99 99 99 {x}", f"QQ999999{x}"])
         elif kind == 4:
-            label, n = r.choice(["documento ", "DNI ", "DNI: ", "documento: ", "NIE "]), r.choice(["99999999", "99999999-"]) + r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")
+            label, n = r.choice(["documento ", "DNI ", "DNI: ", "documento: ", "NIE ", "NIF ", "NIF: "]), r.choice(["99999999", "99999999-"]) + r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")
         else:
             label, n = r.choice(["passport no. ", "passeport n° ", "pasaporte ", "Reisepass Nr. ", "passport "]), r.choice("QXYZ") + "9999999"
         if label.endswith(" ") and not label.endswith(("is ", ": ")) and r.random() < 0.2:
