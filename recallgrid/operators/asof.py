@@ -100,7 +100,7 @@ def attributes_as_known(events: DataFrame, memories: DataFrame, rows_per_bucket:
     """(event_id, memory_id) of ``events`` (event_id, k.., ts) and ``memories`` (memory_id, k.., valid_from, valid_to, recorded).
 
     Both have the key columns tenant, agent, subject and integer times. An
-    entity with more than ``hot_rows`` events is cut along time: each slice gets
+    entity with more than ``hot_rows`` rows of both is cut along time: each slice gets
     the intervals that begin or end in it, and of those that span it wholly
     only the best, found by a map-side maximum.
     """
@@ -111,7 +111,7 @@ def attributes_as_known(events: DataFrame, memories: DataFrame, rows_per_bucket:
         "memory_id", *keys, "valid_from", "recorded", F.greatest("valid_from", "recorded").alias("known"), F.coalesce("valid_to", F.lit(OPEN)).alias("until")
     )
     mem = mem.filter("until > known")
-    bounds = hot_bounds(ev, keys, "ts", hot_rows)
+    bounds = hot_bounds(ev.select(*keys, "ts").unionByName(mem.select(*keys, F.col("known").alias("ts"))), keys, "ts", hot_rows)
     ev = with_slice(ev, keys, "ts", bounds)
     if bounds is None:
         mem = mem.withColumn("_slice", F.lit(0))
@@ -124,7 +124,7 @@ def attributes_as_known(events: DataFrame, memories: DataFrame, rows_per_bucket:
         span = span.groupBy(*keys, "_slice").agg(F.max(value).alias("m")).select("m.*", *keys, "_slice")
         mem = edge.drop("_from", "_to").unionByName(span)
     entity = F.concat_ws("\u001f", *keys)
-    size = ev.count()
+    size = ev.count() + mem.count()
     buckets = max(1, -(-size // rows_per_bucket), ev.sparkSession.sparkContext.defaultParallelism)
     bucket = F.pmod(F.xxhash64(*keys, "_slice"), F.lit(buckets)).cast("int")
     left = ev.select(bucket.alias("bucket"), "event_id", F.concat_ws("\u001f", entity, F.col("_slice").cast("string")).alias("entity"), "ts")

@@ -25,7 +25,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     ev = ev.filter("subject is not null and subject <> ''").withColumnRenamed("id", "event_id")
     m = standing_memories(mem, tenant().alias("tenant"), F.col("agent_id").alias("agent"), subject_norm("subject").alias("subject"),
                           micros("valid_from").alias("valid_from"), micros("valid_to").alias("valid_to"), micros("created_at").alias("recorded"))
-    return attributes_as_known(Scratch(spark, "asof").cut(ev), m.withColumnRenamed("id", "memory_id"))
+    scratch = Scratch(spark, "asof")
+    return attributes_as_known(scratch.cut(ev), scratch.cut(m.withColumnRenamed("id", "memory_id")))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
