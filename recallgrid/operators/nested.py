@@ -128,7 +128,7 @@ def table_elements(graph: DataFrame, limit: int = 10_000) -> dict[str, str]:
     return why
 
 
-def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool):
+def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool, lists: tuple[str, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: dict[str, list] = {c: [] for c in ("record_id", "element", "kind", "node_path", "parent_path", "columns")}
@@ -137,6 +137,12 @@ def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool):
             def add(i, name, why, path, up, own):
                 rid.append(i), element.append(name), kind.append(why), node.append(path), parent.append(up), cols.append(own)
 
+            for at, name in enumerate(lists):
+                for i, items in zip(pdf["id"], pdf[f"list{at}"]):
+                    if items is not None and len(items):
+                        for n, x in enumerate(items):
+                            if x is not None:
+                                add(i, name, "value", f"{name}/{n}", "", {"value": str(x)})
             for i, text in zip(pdf["id"], pdf["doc"]):
                 v = unwrap(parse(text))
                 if type(v) is not dict and type(v) is not list:
@@ -185,17 +191,21 @@ def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool):
     return run
 
 
-def shred(df: DataFrame, record_id: str, doc: str, tables: dict[str, str], array_fields=ARRAY_FIELDS, columns: bool = True) -> DataFrame:
+def shred(df: DataFrame, record_id: str, doc: str, tables: dict[str, str], array_fields=ARRAY_FIELDS, columns: bool = True, lists: tuple[str, ...] = ()) -> DataFrame:
     """(record_id, element, kind, node_path, parent_path[, columns]), one row per row of a child table.
 
     kind is repeated (an object in an array; its path is the key, the nearest
     enclosing such object's path, or '', the foreign key), shared or recursive
     (a single object with a table of its own), value (a scalar in an array) or
     top. ``columns`` holds the inlined fields by dotted name; without it only
-    repeated objects are given.
+    repeated objects are given. ``lists`` names list columns whose non-null
+    items become rows of kind value, with path name/position.
     """
     schema = "record_id string, element string, kind string, node_path string, parent_path string" + ", columns map<string,string>" * columns
-    return df.select(F.col(record_id).cast("string").alias("id"), F.col(doc).alias("doc")).filter("doc is not null").mapInPandas(_shred(tables, frozenset(array_fields), columns), schema)
+    src = df.select(F.col(record_id).cast("string").alias("id"), F.col(doc).alias("doc"), *[F.col(c).alias(f"list{i}") for i, c in enumerate(lists)])
+    if not lists:
+        src = src.filter("doc is not null")
+    return src.mapInPandas(_shred(tables, frozenset(array_fields), columns, tuple(lists)), schema)
 
 
 def child_table(shredded: DataFrame, element: str, columns: list[str]) -> DataFrame:

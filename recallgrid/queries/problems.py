@@ -36,9 +36,14 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     ev = _records(spark, d)
     tables = table_elements(schema_graph(load(spark, d, "episodic"), "payload"))
-    rows = shred(ev, "id", "payload", tables, columns=False).select("record_id", "node_path", "parent_path")
-    out = rows.unionByName(array_items(ev, "id", "tags", "tags").drop("value"))
-    return out.withColumnRenamed("record_id", "event_id")
+    rows = shred(ev, "id", "payload", tables, columns=False, lists=("tags",))
+    return rows.select(F.col("record_id").alias("event_id"), "node_path", "parent_path")
+
+
+def p2_tags(spark: SparkSession, d: str) -> DataFrame:
+    """The child table of the tags."""
+    ev = standing_events(load(spark, d, "episodic"), "tags")
+    return array_items(ev, "id", "tags", "tags").select(F.col("record_id").alias("event_id"), "node_path", F.col("value").alias("tag"))
 
 
 def _child(element: str, columns: list[str]):
@@ -116,6 +121,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_schema": p2_schema,
+    "p2_tags": p2_tags,
     "p2_steps": _child("steps", ["tool", "ms", "note"]),
     "p2_calls": _child("calls", ["call_id", "args.q", "args.limit", "error.code", "error.detail"]),
     "p2_results": _child("results", ["ref", "score", "labels.lang"]),

@@ -70,6 +70,7 @@ from (select t, id, depth, unnest(path[1:depth]) as a, generate_subscripts(path[
 
 ORACLE = {
     "p1_found": P1,
+    "p2_tags": f"""with {EVENTS} select id as event_id, 'tags/' || (p - 1) as node_path, tags[p] as tag from (select id, tags, unnest(range(1, len(tags) + 1)) as p from ev) where tags[p] is not null""",
     "p3_found": P3,
     "p4_found": _p4("agent_id, key, version, epoch_us(changed_at) as changed_us"),
     "p4_state": _p4("agent_id, key, value, version, epoch_us(changed_at) as changed_us"),

@@ -119,6 +119,9 @@ def test_shared_inlining(spark):
     calls = child_table(full, "calls", ["call_id", "args.q"])
     assert rows(calls) == [("e0", "steps/0/calls/0", "steps/0", "1", "x"), ("e0", "steps/2/calls/0", "steps/2", "2", None)]
     assert rows(shred(df.limit(0), "id", "payload", {})) == []
+    tags = spark.createDataFrame([("a", None, ["x", None, "x"]), ("b", '{"steps": {}}', None), ("c", "{", [])], "id string, payload string, tags array<string>")
+    got = rows(shred(tags, "id", "payload", tables, columns=False, lists=("tags",)).select("record_id", "node_path", "parent_path"))
+    assert got == [("a", "tags/0", ""), ("a", "tags/2", ""), ("b", "steps/0", "")]
 
 
 # 3
