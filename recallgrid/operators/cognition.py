@@ -163,13 +163,15 @@ def merge_fold(rows: DataFrame, scope: str, order: str, vector: str, threshold:
     return out.select(F.col("scope").alias(scope), F.col("o").alias(order), "outcome", "merged_into")
 
 
-def contradictions(mem: DataFrame, members: int = 100) -> DataFrame:
-    """Subjects with more than one active memory in a scope: (scope, subject, n, ids).
+def contradictions(mem: DataFrame) -> DataFrame:
+    """Members of subjects with more than one active memory in a scope: (scope, subject, n, id, content).
 
-    ``ids`` are the members in order; the count is exact at any size.
+    The count is made map-side and joined back, so no group is gathered.
     """
+    keys = [*SCOPE, "subject"]
     act = mem.filter("state = 'active' and subject is not null")
-    return act.groupBy(*SCOPE, "subject").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).filter("n > 1")
+    several = act.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*[F.col(k).alias(f"_g{k}") for k in keys], "n")
+    return act.join(several, [F.col(k).eqNullSafe(F.col(f"_g{k}")) for k in keys]).select(*keys, "n", "id", "content")
 
 
 def resolve(mem: DataFrame, scope: Column, subject: str, keep_id: str, now: Column) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries outside the text subpackage, with their SQL."""
 
-from . import memory, problems, problems_sql, relational, retrieval
+from . import memory, problems, problems_sql, relational, retrieval, surface
 
-QUERIES = {**problems.QUERIES, **retrieval.QUERIES, **memory.QUERIES, **relational.QUERIES}
-ORACLE: dict[str, str] = {**problems_sql.ORACLE, **retrieval.ORACLE, **memory.ORACLE, **relational.ORACLE}
+QUERIES = {**problems.QUERIES, **retrieval.QUERIES, **memory.QUERIES, **relational.QUERIES, **surface.QUERIES}
+ORACLE: dict[str, str] = {**problems_sql.ORACLE, **retrieval.ORACLE, **memory.ORACLE, **relational.ORACLE, **surface.ORACLE}

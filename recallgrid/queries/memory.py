@@ -69,8 +69,7 @@ def subject_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contradictions(spark: SparkSession, d: str) -> DataFrame:
-    c = cognition.contradictions(memories(spark, d))
-    return c.select("tenant_id", "user_id", "agent_id", "session_id", "subject", "n", F.array_join("ids", ",").alias("ids"))
+    return cognition.contradictions(memories(spark, d))
 
 
 def scope_cap(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +374,7 @@ qualify row_number() over (partition by o_custkey order by valid_from desc, firs
     "memory_history": f"with {_M} select id, subject, (row_number() over (partition by {_SCOPE}, subject order by valid_from nulls first, id))::int as place from m where subject is not null",
     "subject_as_of": f"""with {_M} select id, subject from m where subject is not null and valid_from <= timestamp '2018-01-10 12:00:00' and (valid_to is null or valid_to > timestamp '2018-01-10 12:00:00')
 qualify row_number() over (partition by {_SCOPE}, subject order by valid_from desc, id desc) = 1""",
-    "contradictions": f"with {_M} select {_SCOPE}, subject, count(*) as n, string_agg(id, ',' order by id) as ids from m where state = 'active' and subject is not null group by {_SCOPE}, subject having count(*) > 1",
+    "contradictions": f"with {_M} select {_SCOPE}, subject, count(*) over (partition by {_SCOPE}, subject) as n, id, content from m where state = 'active' and subject is not null qualify n > 1",
     "scope_cap": f"with {_M} select id from m where state = 'active' qualify row_number() over (partition by {_SCOPE} order by importance desc nulls last, updated_at desc nulls last, id) > 2",
     "consolidate_tail": f"""with {_M}, t as (select *, row_number() over (partition by tenant_id, agent_id order by importance desc nulls last, valid_from desc nulls last, id) as r from m where state = 'active')
 select tenant_id, agent_id, 'Consolidated ' || count(*) || ' memories:' || chr(10) || string_agg('- ' || coalesce(content, ''), chr(10) order by r) as content, 0.6::double as importance, count(*)::int as n from t where r > 3 group by tenant_id, agent_id""",

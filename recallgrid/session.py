@@ -31,11 +31,12 @@ def build_session(master: str | None = None, partitions: int | None = None, **co
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, unless their Python finds it already (PYTHONPATH or working folder)."""
+    """Give the executors this package as a zip; in local mode only where their Python doesn't find it already."""
     sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     seen = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if getattr(ship, "_done", None) == sc.applicationId or root in seen or os.getcwd() == root:
+    local = sc.master == "local" or sc.master.startswith("local[")
+    if getattr(ship, "_done", None) == sc.applicationId or local and (root in seen or os.getcwd() == root):
         return
     ship._done = sc.applicationId
     at = os.path.join(tempfile.mkdtemp(prefix="recallgrid-ship-"), "recallgrid.zip")

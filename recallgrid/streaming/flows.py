@@ -76,7 +76,7 @@ def resolve_stream(adds: DataFrame, key: str, content: str, order: str) -> DataF
         state.update((text, seq, version))
         yield pd.DataFrame(out, columns=["key", "seq", "content", "outcome", "version", "supersedes"]).astype({"supersedes": "Int64"})
 
-    src = adds.select(F.col(key).alias("key"), F.col(content).alias("content"), F.col(order).cast("long").alias("seq"))
+    src = adds.select(F.col(key).cast("string").alias("key"), F.col(content).alias("content"), F.col(order).cast("long").alias("seq"))
     return src.groupBy("key").applyInPandasWithState(
         step, "key string, seq long, content string, outcome string, version long, supersedes long", "content string, seq long, version long", "append", GroupStateTimeout.NoTimeout
     )

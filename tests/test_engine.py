@@ -183,7 +183,7 @@ def test_review_and_resolve(spark):
     m = memories(spark, [{"id": "1", "subject": "plan", "content": "a"}])
     new = memories(spark, [{"id": "2", "subject": "plan", "content": "b"}])
     both = cognition.apply_rows(m, cognition.plan_subject_adds(m, new, now, review=True))
-    assert rows(cognition.contradictions(both).select("subject", "n", "ids")) == [("plan", 2, ["1", "2"])]
+    assert rows(cognition.contradictions(both).select("subject", "n", "id")) == [("plan", 2, "1"), ("plan", 2, "2")]
     with pytest.raises(ValueError):
         cognition.resolve(both, cognition.in_scope(), "plan", "9", now)
     done = cognition.apply_rows(both, cognition.resolve(both, cognition.in_scope(), "plan", "2", now))
@@ -582,3 +582,45 @@ def test_upkeep_pass(spark, tmp_path):
     s.commit("state", log)
     done = flows.upkeep(s, F.lit(T + timedelta(hours=1)), spark.createDataFrame([], "source string, days int"), 365, f"file://{tmp_path}/b", 1, 30.0, "n1")
     assert done == {"events": 1, "state": 1, "memories": 1} and s.read("episodic").count() == 1
+
+
+# smaller parts
+
+
+def test_scans_ring_and_types(spark):
+    from recallgrid.providers import embedder_udf, reranker_udf, wire_types
+    from recallgrid.sharding import Ring, moves, scale_steps
+    from recallgrid.sources import scans
+
+    e = spark.createDataFrame([(str(i), "t" if i % 2 else None, "s", T + timedelta(minutes=i)) for i in range(6)], "id string, tenant_id string, source string, ts timestamp")
+    assert [r["id"] for r in scans.by_source(e, "s", 2).collect()] == ["5", "4"]
+    assert [r["id"] for r in scans.in_range(e, F.lit(T), F.lit(T + timedelta(minutes=1))).collect()] == ["0", "1"]
+    assert rows(scans.by_ids(e, ["1", "2"], tenant="t").select("id")) == [("1",)] and scans.by_ids(e, [str(i) for i in range(2000)]).count() == 6
+    assert [r["id"] for r in scans.of_tenant(e, "default").collect()] == ["0", "2", "4"] and scans.query(e, "s", limit=1, newest_first=False).first()["id"] == "0"
+    assert json.loads(scans.as_json(e.limit(1).withColumn("d", F.lit(1.5).cast("decimal(4,2)"))).first()["json"])["d"] == "1.50"
+    a, b = Ring(3), Ring(4)
+    keys = [f"k{i}" for i in range(400)]
+    moved = moves(a, b, keys)
+    assert 0 < len(moved) < 200 and all(v[1] == 3 for v in moved.values()) and Ring(0).owner("x") is None and scale_steps(2, 4) == [3, 4] and scale_steps(3, 1) == [2, 1]
+    assert wire_types(e) == [("id", "text"), ("tenant_id", "text"), ("source", "text"), ("ts", "timestamptz")]
+
+    class P:
+        dimensions = 2
+
+        def embed(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+        def rerank(self, query, documents):
+            return [1.0] if query == "short" else [float(len(x)) for x in documents]
+
+    df = spark.createDataFrame([("q", "aa"), ("q", "b"), ("short", "x"), ("short", "y")], "q string, c string").coalesce(1)
+    assert [r[0] for r in df.select(embedder_udf(P())("c")).collect()] == [[2.0, 1.0], [1.0, 1.0], [1.0, 1.0], [1.0, 1.0]]
+    assert [r[0] for r in df.select(reranker_udf(P())(F.col("q"), F.col("c"))).collect()] == [2.0, 1.0, None, None]
+
+
+def test_whole_queries_have_stable_schemas(spark):
+    import __spark_entry__ as E
+
+    first = E.entry(spark)
+    assert first.columns == ["event_id", "memory_id"] and first.count() > 0
+    assert set(E.oracle_sql()) <= set(E.queries())
