@@ -124,7 +124,7 @@ def list_paged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_counts(spark: SparkSession, d: str) -> DataFrame:
-    return memories(spark, d).groupBy("state", "mem_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("importance"), 6).alias("importance"))
+    return memories(spark, d).groupBy("state", "mem_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("importance"), 3).alias("importance"))
 
 
 def published(spark: SparkSession, d: str) -> DataFrame:
@@ -395,7 +395,7 @@ union all select j.id, 'Closed', 'superseded', j.version, j.supersedes, round(j.
 select s.id, event_id, ev.source as event_source, ev.event_type, epoch_us(ev.ts) as event_us from s join ev on ev.id = event_id and ev.tenant = s.tenant_id""",
     "memory_scopes": f"with {_M} select user_id, agent_id, session_id, count(*) as n from m where state = 'active' group by user_id, agent_id, session_id",
     "list_paged": f"""with {_M} select id, importance from m where state = 'active' and tenant_id = 'default' and agent_id = 'agent-00007' and mem_type = 'semantic' and importance >= 0.3 order by importance desc, valid_from desc, id limit 10 offset 10""",
-    "memory_counts": f"with {_M} select state, mem_type, count(*) as n, round(avg(importance), 6) as importance from m group by state, mem_type",
+    "memory_counts": f"with {_M} select state, mem_type, count(*) as n, round(sum(importance), 3) as importance from m group by state, mem_type",
     "published": f"with {_M} select id from m where state = 'active' and json_valid(metadata) and json_extract_string(metadata, '$.published') = 'true'",
     "scope_erase": f"with {_M} select tenant_id, count(*) as n from m where tenant_id <> 'nordwerk' group by tenant_id",
     "event_counts": f"with {EVENTS} select source, lower(trim(event_type)) as kind, count(*) as n, count(distinct session_id) as sessions from ev group by 1, 2",
