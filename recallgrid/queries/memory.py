@@ -303,7 +303,7 @@ def _nation_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pagerank_large(spark: SparkSession, d: str) -> DataFrame:
-    return graph.pagerank(edges(spark, d), iterations=10).select("node", F.round("pagerank", 12).alias("pagerank"))
+    return graph.pagerank(edges(spark, d)).select("node", F.round("pagerank", 12).alias("pagerank"))
 
 
 def communities(spark: SparkSession, d: str) -> DataFrame:
