@@ -65,6 +65,9 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("e.node").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"))
 
 
+#: Hops after which the nodes that a path search has seen become one table.
+SEEN_HOPS = 16
+
 #: Merged edges of a graph that is ranked in memory at most (two ids and a weight each, some 10 MB).
 FEW_EDGES = 100_000
 
@@ -118,29 +121,34 @@ def _pagerank_small(e: DataFrame, iterations: int, damping: float) -> DataFrame:
     return e.sparkSession.createDataFrame(pd.DataFrame({"node": names, "pagerank": r}))
 
 
-def shortest_path(edges: DataFrame, src: str, dst: str, most_hops: int = 64) -> list[str] | None:
+def shortest_path(edges: DataFrame, src: str, dst: str) -> list[str] | None:
     """A shortest directed path, the smallest by its nodes among equals; None if there is none.
 
-    The frontier is joined with the edges until the target is met; each node
-    is reached once, so no paths but one per node are kept.
+    The frontier is joined with the edges until the target is met or nothing
+    new is reached, however many hops that takes; each node is reached once, so
+    no paths but one per node are kept. The nodes seen are written anew every
+    ``SEEN_HOPS`` hops, which bounds the plan.
     """
     if src == dst:
         return [src]
     spark = edges.sparkSession
     scratch = Scratch(spark, "path")
-    links = edges.filter("src is not null and dst is not null").select("src", "dst").distinct()
+    links = scratch.cut(edges.filter("src is not null and dst is not null").select("src", "dst").distinct())
     front = spark.createDataFrame([(src, [src])], "node string, path array<string>")
-    seen = front.select("node")
-    for _ in range(most_hops):
+    seen, parts = front.select("node"), []
+    while True:
         step = links.join(front, links.src == front.node).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         front = scratch.cut(step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path")))
-        hit = front.filter(F.col("node") == dst).first()
-        if hit:
-            return hit["path"]
-        if front.isEmpty():
-            return None
+        n, path = front.agg(F.count(F.lit(1)), F.max(F.when(F.col("node") == dst, F.col("path")))).first()
+        if path or not n:
+            return path
         seen = seen.unionByName(front.select("node"))
-    return None
+        parts.append(front)
+        if len(parts) >= SEEN_HOPS:
+            seen = scratch.cut(seen)
+            for old in parts[:-1]:
+                scratch.drop(old)
+            parts = [seen]
 
 
 def communities(edges: DataFrame) -> DataFrame:

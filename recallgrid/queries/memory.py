@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..entities import micros, standing_events, standing_memories, standing_runs, subject_norm, tenant
+from ..entities import link_norm, micros, retries, standing_events, standing_memories, standing_runs, subject_norm, tenant
 from ..functions.text import subject
 from ..operators import cognition, graph, runs, state
+from ..operators.hierarchy import resolve_tree
 from ..operators.joins import asof_join
-from ..session import load
+from ..session import Scratch, load
 from ..sources import exchange, ingest
 from .problems_sql import EVENTS, MEMORIES
 
@@ -317,12 +318,16 @@ def subgraph_2hop(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    """From the newest event with a parent up its links to the top."""
-    ep = load(spark, d, "episodic").select(F.lower("id").alias("src"), F.lower(F.trim("parent_id")).alias("dst"), F.lit(1.0).alias("weight")).filter("dst <> ''")
-    top = ep.select(F.min("src").alias("a")).first()["a"]
-    end = ep.filter(F.col("src") == top).select(F.min("dst").alias("b")).first()["b"]
-    path = graph.shortest_path(ep, top, end) or []
-    return spark.createDataFrame([(i, n) for i, n in enumerate(path)], "place int, node string")
+    """From the event farthest below the top of its tree (the smallest id among equals) up its links to that top."""
+    ep = load(spark, d, "episodic")
+    t, canon = F.lit("episodic").alias("table_name"), retries(ep).groupBy(F.col("id").alias("parent_id")).agg(F.min("canon").alias("canon"))
+    ev = standing_events(ep, link_norm("parent_id").alias("parent_id")).join(canon, "parent_id", "left")
+    nodes = Scratch(spark, "links").cut(ev.select(t, F.col("id").alias("node_id"), F.coalesce("canon", "parent_id").alias("parent_id")))
+    tree = resolve_tree(nodes, nodes.select("table_name", F.col("node_id").alias("ref"), F.col("node_id").alias("canon")))
+    far = tree.filter("depth > 0").orderBy(F.desc("depth"), "node_id").select("node_id", "root_id").first()
+    links = nodes.select(F.col("node_id").alias("src"), F.col("parent_id").alias("dst"))
+    path = graph.shortest_path(links, far["node_id"], far["root_id"]) if far else []
+    return spark.createDataFrame(list(enumerate(path)), "place int, node string")
 
 
 def memory_edges(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from recallgrid.operators import graph
 from recallgrid.queries import memory
+from recallgrid.queries.problems_sql import EVENTS
 
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -32,3 +33,29 @@ def test_pagerank_large_takes_40_steps(spark):
     joined = graph.pagerank(memory.edges(spark, D), few_edges=0)
     for df in (memory.pagerank_large(spark, D), joined):
         assert {r["node"]: r["pagerank"] for r in df.collect()} == pytest.approx(want, rel=1e-9, abs=2e-12)
+
+
+def test_shortest_path_has_no_hop_limit(spark):
+    pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(70)] + [("n070", "n000"), ("n003", "side"), ("side", "n005")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    assert graph.shortest_path(e, "n000", "n070") == [f"n{i:03}" for i in range(71)]
+    assert graph.shortest_path(e.filter("src >= 'n069' and src < 's' or src = 'n000'"), "n069", "nowhere") is None
+
+
+def test_shortest_path_climbs_to_the_top(spark):
+    con = duckdb.connect()
+    con.execute(f"create view episodic as select * from '{D}/episodic.parquet'")
+    up = dict(con.execute(f"with {EVENTS} select id, nullif(lower(trim(parent_id)), '') from ev").fetchall())
+    stands = dict(con.execute(f"""with {EVENTS} select e1.id, ev.id from e1 join ev on e1.tenant = ev.tenant and e1.idempotency_key = ev.idempotency_key""").fetchall())
+
+    def climb(n):
+        path = [n]
+        while (n := stands.get(up[n], up[n])) in up:
+            if n in path:
+                return []
+            path.append(n)
+        return path
+
+    want = min((p for p in map(climb, up) if p), key=lambda p: (-len(p), p[0]))
+    assert len(want) > 2
+    assert [r["node"] for r in memory.shortest_path(spark, D).orderBy("place").collect()] == want
