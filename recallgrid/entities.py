@@ -37,19 +37,20 @@ def link_norm(c: str) -> Column:
 def retries(ep: DataFrame) -> DataFrame:
     """(id, canon): ids that repeat another event's idempotency key, and the id that stands.
 
-    The groups are reduced map-side to one row per key before any join, so a
-    key that holds most rows costs one row per map task.
+    Only the standing row of an id is judged, so one event of each key always
+    stands. The groups are reduced map-side to one row per key before any join,
+    so a key that holds most rows costs one row per map task.
     """
-    k = ep.filter("idempotency_key is not null and id is not null").select(
-        tenant().alias("_t"), F.col("idempotency_key").alias("_k"), F.lower("id").alias("id"), "ingested_at"
-    )
+    raw = ep.filter("id is not null").select(F.lower("id").alias("id"), tenant().alias("_t"), F.col("idempotency_key").alias("_k"), "ingested_at")
+    w = Window.partitionBy("id").orderBy(F.col("ingested_at").asc_nulls_last(), "_t", "_k")
+    k = raw.withColumn("_r", F.row_number().over(w)).filter("_r = 1 and _k is not null").drop("_r")
     first = (
         k.groupBy("_t", "_k")
         .agg(F.min(F.struct(F.col("ingested_at").isNull().alias("n"), "ingested_at", "id")).alias("w"), F.min("id").alias("a"), F.max("id").alias("b"))
         .filter("a <> b")
         .select("_t", "_k", F.col("w.id").alias("canon"))
     )
-    return k.join(first, ["_t", "_k"]).filter("id <> canon").select("id", "canon").distinct()
+    return k.join(first, ["_t", "_k"]).filter("id <> canon").select("id", "canon")
 
 
 def standing_events(ep: DataFrame, *cols: Column | str) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from recallgrid.entities import retries, standing_events
 from recallgrid.operators import graph
 from recallgrid.queries import memory
 from recallgrid.queries.problems_sql import EVENTS
@@ -59,3 +60,14 @@ def test_shortest_path_climbs_to_the_top(spark):
     want = min((p for p in map(climb, up) if p), key=lambda p: (-len(p), p[0]))
     assert len(want) > 2
     assert [r["node"] for r in memory.shortest_path(spark, D).orderBy("place").collect()] == want
+
+
+def test_ids_under_each_others_keys_stand(spark, tmp_path):
+    raw = [("A", "k1", 1), ("b", "k2", 2), ("b", "k1", 3), ("A", "k2", 4), ("c", "k1", 5), ("d", None, 6), ("d", "k1", 7)]
+    ep = spark.createDataFrame(raw, "id string, idempotency_key string, n int").selectExpr("id", "cast(null as string) as tenant_id", "idempotency_key", "timestamp_seconds(n) as ingested_at")
+    ep.write.parquet(str(tmp_path / "ep"))
+    con = duckdb.connect()
+    con.execute(f"create view episodic as select * from '{tmp_path}/ep/*.parquet'")
+    want = sorted(r[0] for r in con.execute(f"with {EVENTS} select id from ev").fetchall())
+    assert sorted(r["id"] for r in standing_events(ep).collect()) == want == ["a", "b", "d"]
+    assert [tuple(r) for r in retries(ep).collect()] == [("c", "a")]
