@@ -1,7 +1,8 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
-Method: a linear-chain conditional random field over word-shape features,
-trained on the driver from a small labelled table (``TRAINING`` texts, a
+Method: a linear-chain conditional random field over word-shape features (small
+word classes, the name lexicon and the common words of a public vocabulary among
+them), trained on the driver from a small labelled table (``TRAINING`` texts, a
 documented bound), decoded by Viterbi in numpy batches on the executors. An
 exact check of form follows each find (a phone number has 7 to 15 digits, an
 e-mail an at sign and a domain, and so on).
@@ -23,11 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.nested import ARRAY_FIELDS, parse, unwrap
-from .crf import LABELS, TOKEN, TYPES, Model, Scores, emissions, train, viterbi
+from ..session import checkpoint_dir
+from ..sources.store import Files
+from .crf import LABELS, TOKEN, TYPE_OF, Model, Scores, emissions, form_of, train, viterbi
 from .pii_examples import labelled_table
+from .tokenizer import VOCABULARY, read_ranks
 
 #: Size of the labelled table.
-TRAINING = 6000
+TRAINING = 10_000
+#: Public vocabularies that tell common words from others; a parameter.
+VOCABULARIES = (VOCABULARY, VOCABULARY.replace("_50k", "_multi_50k"))
 #: Name words of the lexicon that the driver reads at most.
 MAX_LEXICON = 100_000
 #: Payload fields that hold free text (fixed values of the data model).
@@ -40,7 +46,7 @@ def label_tokens(pieces: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
     text, spans = "", []
     for part, label in pieces:
         if label:
-            spans.append((len(text), len(text) + len(part), label))
+            spans.append((len(text), len(text) + len(part), form_of(label, part)))
         text += part
     tokens, labels, j = [], [], 0
     for m in TOKEN.finditer(text):
@@ -54,16 +60,49 @@ def label_tokens(pieces: list[tuple[str, str]]) -> tuple[list[str], list[int]]:
     return tokens, labels
 
 
-def model_from(lexicon_rows: list[tuple[str, str]], size: int = TRAINING) -> Model:
+def common_words(paths: tuple[str, ...] = VOCABULARIES) -> frozenset:
+    """Words of the public vocabularies, as they are written at the start of a word: some ten thousand."""
+    out = set()
+    for path in paths:
+        with open(path, "rb") as f:
+            for piece in read_ranks(f.read()):
+                w = piece.decode("utf-8", "ignore")
+                if len(w) > 3 and w[0] == " " and w[1:].isalpha() and w[2:].islower():
+                    out.add(w[1:])
+    return frozenset(out)
+
+
+def model_from(lexicon_rows: list[tuple[str, str]], size: int = TRAINING, vocabularies: tuple[str, ...] = VOCABULARIES) -> Model:
     """The tagger of a lexicon, trained once per driver process."""
-    key = (size, tuple(sorted(lexicon_rows)))
+    key = (size, vocabularies, tuple(sorted(lexicon_rows)))
     if key not in _MODELS:
-        words: dict[str, str] = {}
+        names: dict[str, str] = {}
         for token, kind in lexicon_rows:
             for w in (token.lower(), *token.lower().split("-")):
-                words[w] = kind if words.get(w, kind) == kind else "both"
-        texts = [label_tokens(p) for p in labelled_table(list(lexicon_rows), size)]
-        _MODELS[key] = train([t for t in texts if t[0]], words)
+                names[w] = kind if names.get(w, kind) == kind else "both"
+        words = common_words(vocabularies)
+        texts = [label_tokens(p) for p in labelled_table(list(lexicon_rows), size, words=words)]
+        _MODELS[key] = train([t for t in texts if t[0]], names, words)
+    return _MODELS[key]
+
+
+def stored_model(spark: SparkSession, lexicon_rows: list[tuple[str, str]], size: int = TRAINING, vocabularies: tuple[str, ...] = VOCABULARIES) -> Model:
+    """The same, kept in the shared folder under a digest of all it is made from, so that it is fitted once per cluster."""
+    import hashlib
+    import inspect
+    import pickle
+
+    from . import crf, pii_examples
+
+    key = (size, vocabularies, tuple(sorted(lexicon_rows)))
+    if key not in _MODELS:
+        made_from = repr((*key, inspect.getsource(crf), inspect.getsource(pii_examples)))
+        files, name = Files(spark, checkpoint_dir(spark)), f"tagger-{hashlib.sha256(made_from.encode()).hexdigest()[:24]}"
+        data = files.read(name)
+        if data is None:
+            files.write(name, pickle.dumps(model_from(lexicon_rows, size, vocabularies)))
+        else:
+            _MODELS[key] = pickle.loads(data)
     return _MODELS[key]
 
 
@@ -93,38 +132,14 @@ def check(kind: str, s: str) -> str | None:
             s = s[1:-1]
         return s if 7 <= digits <= 15 and not any(c.isalpha() for c in s) else None
     if kind == "id_number":
-        s = _LOWER_END.sub("", s).strip("(). ")
+        s = s.strip("(). ")
         return s if digits >= 6 else None
     if kind == "address":
-        if s.endswith(".") and not _DOTTED.search(s[:-1]):
-            s = s[:-1]
         return s.lstrip("(") if digits and any(c.isalpha() for c in s) else None
-    s = _one_case(_TITLE.sub("", s)).strip("(). ")
+    s = s.strip("(). ")
     return s if sum(c.isalpha() for c in s) >= 2 and not any(c.isdigit() for c in s) and "@" not in s else None
 
 
-#: Words that may not end an identity number, and titles that may not begin a name (fixed values).
-_LOWER_END = re.compile(r"(?:\s+[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*)+$")
-_TITLE = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Herr|Frau|Sr|Sra)\.?\s+)+", re.I)
-
-
-def _one_case(name: str) -> str:
-    """Of a name with capitals the longest run of words that are not in lower case: words of one name share their case."""
-    words = list(re.finditer(r"[^\s,;:!?]+", name))
-    if not any(w[0][:1].isupper() for w in words):
-        return name
-    best, run = [], []
-    for w in words:
-        run = [] if w[0][:1].islower() and not w[0].startswith(("o'", "d'")) else [*run, w]
-        if len(run) > len(best):
-            best = run
-    return name[best[0].start() : best[-1].end()]
-
-
-#: An initial right before a name belongs to it.
-_INITIAL = re.compile(r"(?:^|[\s=(:])([A-Z]\.\s?)$")
-
-
 class Tagger:
     """Decodes texts in batches; one per worker task."""
 
@@ -159,33 +174,24 @@ class Tagger:
     def _spans(text: str, labels: np.ndarray) -> list[tuple[int, int, str]]:
         out, start, end, kind = [], 0, 0, ""
         for m, lab in zip(TOKEN.finditer(text), [*labels.tolist()]):
-            name = LABELS[lab]
-            if name[0] == "I" and kind == name[2:]:
+            if LABELS[lab][0] == "I" and kind == TYPE_OF[lab]:
                 end = m.end()
                 continue
             if kind:
                 out.append((start, end, kind))
-            kind = name[2:] if lab else ""
+            kind = TYPE_OF[lab]
             start, end = m.span()
         if kind:
             out.append((start, end, kind))
         good = []
         for a, b, k in out:
-            if k == "address" and text[b : b + 1] == "." and _DOTTED.search(text[a:b]):
-                b += 1
             s = check(k, text[a:b])
             if s:
                 x = text.index(s, a)
-                if k == "person" and (m := _INITIAL.search(text, max(0, x - 8), x)):
-                    s, x = text[m.start(1) : x] + s, m.start(1)
                 good.append((x, x + len(s), k))
         return good
 
 
-#: Street kinds written with a dot (fixed values).
-_DOTTED = re.compile(r"\b(?:St|Ave|Rd|Ln|Blvd|Dr|Ct|Pl|Sq|Ter|Pkwy|Cres)$", re.I)
-
-
 def redact(text: str, finds: list[tuple[int, int, str]]) -> str:
     """The text with each find replaced by its type in brackets, the rest unchanged."""
     out, at = [], 0
@@ -266,6 +272,6 @@ def personal_information(df: DataFrame, row_id: str, column: str, places: str, l
     shuffled.
     """
     spark: SparkSession = df.sparkSession
-    model = spark.sparkContext.broadcast(model_from(lexicon_of(lexicon)))
+    model = spark.sparkContext.broadcast(stored_model(spark, lexicon_of(lexicon)))
     src = df.select(F.col(row_id).cast("string").alias("row_id"), F.col(column).alias("x")).filter("row_id is not null and x is not null")
     return src.mapInPandas(_run(model, places, what), _OUT[what])

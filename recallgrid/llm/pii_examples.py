@@ -1,389 +1,460 @@
 """The small labelled table from which the tagger is trained.
 
-Each line is a sentence with slots in braces: {person}, {email}, {phone},
-{id}, {address} are labelled, {town} and digits (9 stands for any digit) are
-not. Slots are filled by the makers below; names come from the lexicon table
-and from invented syllables, so that unknown names are learned by shape and
-place. Everything is invented.
+Written from general language, in English, German, French and Spanish: what
+stands before a find and what stands after it are separate lists, which are
+combined at random, so the tagger meets each kind of find in many more settings
+than are listed. Names come from the lexicon table (a parameter of the
+operator), from common names, and from invented syllables, so that unknown
+names are learned by shape and place; random words of a public vocabulary stand
+between them too. Numbers follow the public national
+formats. No sentence, street, town or domain was taken from any test table;
+common phrases ("I live at") may stand in both.
+
+Every fifth entry of each open list is kept out of training (``part="test"``),
+so accuracy is measured on settings, streets, towns, domains, names and neutral
+words that the tagger never saw. Closed classes (kinds of street, titles, units,
+labels of identity numbers) belong to both parts.
 """
 
 from __future__ import annotations
 
 import random
+import unicodedata
 
-PERSON = """
-{person} prefers short answers.
-{person} asked for a summary
-{person} never eats fennel
-{person} repairs old radios
-{person} hat das Ticket eröffnet
-{person} habite près du port
-{person} se ocupa de las plantas
-{person} and the agent disagree
-{person}'s badge expired
-the birthday of {person} is in October
-last spring {person} moved closer to the river
-spoke with {person} today
-meeting with {person} about the memory quota
-note from {person}: done
-forwarded by {person} on Monday
-(signed) {person}
-assigned to {person}.
-ask {person} first
-Please add {person} to the review
-as {person} said, keep it short
-thanks, {person}!
-cc: {person}
-between {person} and the planner nothing is open
-owner={person};
-lo pidió {person}
-la demande vient de {person}
-{person} will call back
-wrote to {person} about it
-the ticket of {person} is open
-approved by {person}, finally
-{person} und das Team warten
-gespräch mit {person} verschoben
-reunión con {person} mañana
-"""
+# What stands before and after a find, by language. "" is always possible too.
+BEFORE = {
+    ("person", "en"): (
+        "I met|we talked to|please call|ask|sent by|reviewed by|on behalf of|the account of|our colleague|my neighbour|my manager|the candidate|customer|the patient|driver|written by|we hired|according to|"
+        "thanks to|dinner with|lunch with|a call from|a message for|attention:|name:|contact:|author:|assignee:|reported by|best regards,|kind regards\n|hi|hello|dear|hey|yesterday|this morning|then|because|"
+        "when|if|and|but|ping|remind|tell|invite|email|thank|an interview with|feedback from|the team around|copy to|by|for|from|to|with|about|after|before|without|behind|beside|under|user:|user=|name=|lead=|by:|"
+        "it was|this is|is it|did|has|can|will|let|she married|her brother|his aunt|our guest|a friend of|the parents of|the son of|Q:|Re:|FYI|met|saw|heard from|approval of|answer from|question by|shared with|booked for|"
+        "signed by|on leave:|today's host is|the winner is|her name is|my name is|I am|he is called|it belongs to|handed over to|waiting for|escalated to|looked up|called|we owe|according to the notes of|as|like|near|than"
+    ),
+    ("person", "de"): (
+        "ich traf|wir sprachen mit|bitte ruf|frag|gesendet von|geprüft von|im Namen von|das Konto von|unser Kollege|meine Nachbarin|die Kundin|der Patient|geschrieben von|laut|dank|Essen mit|ein Anruf von|Nachricht für|"
+        "Name:|Ansprechpartner:|viele Grüße,|hallo|liebe|lieber|gestern hat|heute war|weil|wenn|und|aber|von|für|mit|über|nach|ohne|bei|zu|an|der Antrag von|das Büro von|die Tochter von|es war|ich heiße|das ist|Termin mit|Rückmeldung von"
+    ),
+    ("person", "fr"): (
+        "j'ai vu|nous avons parlé à|appelez|demandez à|envoyé par|relu par|au nom de|le compte de|notre collègue|ma voisine|la cliente|le patient|écrit par|selon|grâce à|un déjeuner avec|un appel de|un message pour|"
+        "nom :|contact :|cordialement,|bonjour|chère|cher|hier|ce matin|parce que|quand|et|mais|de|pour|avec|chez|sans|après|le bureau de|la fille de|c'était|je m'appelle|c'est|rendez-vous avec|la réponse de|signé"
+    ),
+    ("person", "es"): (
+        "conocí a|hablamos con|por favor llama a|pregunta a|enviado por|revisado por|en nombre de|la cuenta de|nuestro colega|mi vecina|la clienta|el paciente|escrito por|según|gracias a|una comida con|una llamada de|un mensaje para|"
+        "nombre:|contacto:|saludos,|hola|querida|querido|ayer|esta mañana|porque|cuando|y|pero|de|para|con|sin|después de|la oficina de|la hija de|era|me llamo|es|cita con|la respuesta de|firmado"
+    ),
+    ("email", ""): (
+        "write to|mail|email|e-mail:|reach me at|send it to|forward to|contact|reply to|cc|bcc|to:|from:|user|login|account|address:|sign in as|notify|the list is|it bounced:|ask|invited|add|remove|via|an|schreiben Sie an|E-Mail:|an die Adresse|"
+        "Kontakt|écrivez à|courriel :|mon adresse :|à|escriba a|correo:|mi correo|a|mail=|email=|<|(|[mail](mailto:|owner:|sent to|on behalf of|failed for|unsubscribed|confirmed|is|his mail is|her address is|the inbox of"
+    ),
+    ("phone", ""): (
+        "call|call me at|phone|phone:|tel|tel.|tel:|mobile|mobile:|cell:|fax|fax:|my number is|text|you can text|reach me on|dial|ring|sms to|signal|hotline|the number|try|at|on|under|new number:|voicemail at|missed call from|the caller was|"
+        "Telefon|Telefon:|Handy|Rufnummer|unter|erreichbar unter|ruf an:|téléphone|tél. :|appelez le|joignable au|portable :|au|teléfono|tel. :|móvil:|llame al|al|contact number|emergency contact|callback to|(|phone=|is|for urgent matters|or|and"
+    ),
+    ("id_number", ""): (
+        "number|no.|he gave|she sent|registered with|on record:|it reads|the form says|identified by|he wrote|stored:|please check|please delete|compare|typed|the scan says|copy of|holder of|under|with|for|and|eingetragen:|laut Formular|bitte löschen:|"
+        "enregistré :|selon le formulaire|registrado:|según el formulario|his|her|my|their|the|we need|entered|asked for|gave us|missing:|applicant:|is|the guest showed|mit|avec|con"
+    ),
+    ("address", "en"): (
+        "I live at|she lives at|he moved to|we are at|deliver to|send it to|ship to|the office is at|our new address is|address:|come to|meet me at|the house at|the fire at|parked near|opposite|next to|behind|from|to|at|near|"
+        "billing address:|home:|work:|the shop at|the clinic at|pick up at|drop off at|her flat is|the unit is|the flat at|turn left at|the sign says|located at|registered at|the tenant of|the keys for|the meter at|is|then|and|mail it to|property:|the crew went to"
+    ),
+    ("address", "de"): "ich wohne|sie wohnt in der|wir sind in der|liefern an|Adresse:|Anschrift:|das Büro ist|komm in die|das Haus|das Haus in der|Treffpunkt:|neben|gegenüber|von der|zur|bis|geparkt vor|Lieferung:|zugestellt:|gemeldet in der|der Laden in der|ab heute|und|Sitz:",
+    ("address", "fr"): "j'habite|elle habite au|nous sommes au|livrez au|adresse :|le bureau est|venez au|la maison du|rendez-vous|à côté du|en face du|du|au|garé devant|livraison :|domicilié|la boutique du|et|déposer au|siège :|depuis le",
+    ("address", "es"): "vivo en|ella vive en|estamos en|entregar en|dirección:|la oficina está en|venga a|la casa de|nos vemos en|junto a|frente a|desde|hasta|en|aparcado en|envío:|domicilio:|la tienda de|y|recoger en|sede:",
+}
+AFTER = {
+    ("person", "en"): (
+        "called|will call|is on leave|wrote the report|lives nearby|works from home|has left the company|wants a refund|said so|agreed|'s laptop is broken|'s birthday is in May|joined the call|and I talked|needs help|asked for time|is allergic to nuts|"
+        "when the build is green|about the plan|tomorrow|on Friday|at noon|again|please|, please|before lunch|in the meeting|for the update|is waiting|was late|can help|did not answer|likes tea|moved to the coast|plays chess|speaks German|from sales|"
+        "(support)|, who runs the shop,|and the others|or me|, you were right|; thanks|. Best wishes|: see below|!|?|.|,|has two children|drives a van|bought a house|never smiles|keeps bees|paints walls|will not come|forgot the keys|paid in cash|"
+        "reports to me|takes over|took notes|opened a case|closed the door|, aged 40,|'s contract ends soon|should know|and her sister|and his dog|is the owner|was born here|just left|still waits|rarely writes|always pays|said no to the offer|, our new cook|has a question|as usual"
+    ),
+    ("person", "de"): "hat angerufen|ruft an|ist im Urlaub|wohnt nebenan|schrieb den Bericht|möchte eine Erstattung|kommt morgen|braucht Hilfe|und ich|war zu spät|, bitte|am Freitag|wartet|trinkt gern Tee|spielt Schach|aus dem Vertrieb|und die anderen|hat gekündigt|übernimmt|weiß Bescheid|hat zwei Kinder|fährt Rad|bezahlt bar|vergaß den Schlüssel|.|!|?|, unsere Köchin|kocht gut",
+    ("person", "fr"): "a appelé|appellera|est en congé|habite à côté|a écrit le rapport|veut un remboursement|vient demain|a besoin d'aide|et moi|était en retard|, s'il vous plaît|vendredi|attend|aime le thé|joue aux échecs|du service client|et les autres|a démissionné|prend la suite|est au courant|a deux enfants|paie en espèces|a oublié les clés|.|!|?|, notre cuisinière|cuisine bien",
+    ("person", "es"): "llamó|va a llamar|está de vacaciones|vive al lado|escribió el informe|quiere un reembolso|viene mañana|necesita ayuda|y yo|llegó tarde|, por favor|el viernes|espera|toma té|juega al ajedrez|de ventas|y los demás|renunció|se encarga|lo sabe|tiene dos hijos|paga en efectivo|olvidó las llaves|.|!|?|, nuestra cocinera|cocina bien",
+    ("email", ""): "|.|;|,|, thanks|, please|tomorrow|and wait|if it fails|bounced|signed up|for details|or call|was removed|(work)|)|>|asked twice|is wrong|works|, bitte|, merci|, gracias|as a backup|has no access|und warten|dès demain|hoy|?|!|(read)|logged in|is full",
+    ("phone", ""): "|.|;|,|, thanks|tonight|tomorrow|after six|any time|twice|is busy|rang|was engaged|ext. 4|ext. 212|x 77|x31|, extension 9|or mail us|(mobile)|)|?|!|is wrong|, bitte|, merci|, gracias|ab acht Uhr|ce soir|por la tarde|for help|and ask|did not answer|if late|before noon|from nine|- no reply|is out of date",
+    ("id_number", ""): "|.|;|,|, thanks|was wrong|is valid|is stored|has expired|belongs to him|was copied|on the form|?|!|)|from the scan|please|again|is missing a digit|was checked|ist gültig|wurde geprüft|est valable|a été copié|es válido|fue copiado|for the record|and a photo|before travel|as proof|, issued in May|in full|to the bank",
+    ("address", ""): "|.|;|,|, thanks|tomorrow|since last year|is closed|for two years|by noon|, second door|please|?|!|)|is for sale|burned down|opened|was sold|until Monday|and ring twice|with my cat|, top floor|ab Montag|seit Mai|ist zu|demain|depuis mai|est fermé|mañana|desde mayo|está cerrado|, then left|looks empty|on foot|has parking|instead",
+}
+# Sentences without a find are made of a subject, what it does, and a rest; {x} are made words.
+SUBJECT = {
+    "en": (
+        "the server|the cache|this job|our team|the printer|nobody|everyone|the report|the new index|a retry|the agent|the memory|my phone|the invoice|the order|a package|the old car|the weather|the meeting|this test|the parser|the queue|a node|the backup|the customer|"
+        "the manager|the street|the avenue|the road|a lane|the unit|the flat|a suite of tests|the way|the drive|the place|this square|her dog|his idea|the {w} release|project {c}|the {c} theme|{c}|the {w} service|{w}|{p}|the {p} layer|{p} and {p}|a {p} tile|branch {w}|version {n}|"
+        "step {n}|page {n}|row {n}|shard {n}|port {n}|ticket {n}|invoice {n}|order {n}|part {n}|build {n}|run {n}|job {n}|hash {h}|commit {h}|error {n}|The {w}|A {w}|Team {c}|Room {c}|Operation {c}|Sprint {c}|{c} mode|{c} demo|{p} mode|{w} mode|Module {w}|Dataset {c}|the {c} board"
+    ),
+    "de": "der Server|der Speicher|dieser Auftrag|das Team|niemand|der Bericht|der Index|ein Versuch|der Agent|die Rechnung|das Paket|das Wetter|die Sitzung|der Test|die Warteschlange|der Kunde|die Straße|der Weg|der Platz|Projekt {c}|das Modul {w}|Zeile {n}|Seite {n}|Ticket {n}|der {w} Dienst|die Sicherung|die Suche",
+    "fr": "le serveur|la mémoire|cette tâche|notre équipe|personne|le rapport|l'index|un essai|l'agent|la facture|le colis|la météo|la réunion|le test|la file|le client|la rue|la place|le chemin|le projet {c}|le module {w}|la ligne {n}|la page {n}|le ticket {n}|le service {w}|la sauvegarde|la recherche",
+    "es": "el servidor|la caché|esta tarea|el equipo|nadie|el informe|la lista|un intento|el agente|la factura|el paquete|el tiempo|la reunión|la prueba|la cola|el cliente|la calle|la plaza|el camino|el proyecto {c}|el módulo {w}|la fila {n}|la página {n}|el ticket {n}|el servicio {w}|la copia|la búsqueda",
+}
+DOES = {
+    "en": (
+        "is slow today|was made anew|failed twice|needs a review|took {n} seconds|used {n} of {n} rows|came back empty|is done|is just a label|is a working title|is a colour scheme|is a table name|went live at {t}|starts at {t}|ended on {d}|was merged|has no owner|holds {n} entries|looks fine|"
+        "was dropped|is ready|remains open|was paid|arrived late|is full|changed again|lost {n} keys|is now called {w}|is based on {w}|runs on port {n}|listens on {i}|was tagged {v}|went to {v}|points to {h}|logs too much|shares a folder with {w}|costs {n} dollars|is on hold|opened well|"
+        "rises at dawn|grows in spring|reads the log|was read aloud|crossed the {p}|is made of {p}|is near the {p}|ended in a draw|is off|saved point {n}|laid {n} tiles|has {n} lanes|comes later|is on ice|is a shade of green"
+    ),
+    "de": "ist heute langsam|wurde neu gebaut|schlug fehl|braucht {n} Sekunden|ist grün|startet um {t}|endete am {d}|ist fertig|bleibt offen|wurde bezahlt|kam zu spät|ist voll|hat {n} Zeilen|wurde getauscht|geht wieder|ist nur ein Titel|ist gesperrt",
+    "fr": "est lent aujourd'hui|a été refait|a échoué|prend {n} secondes|est vert|commence à {t}|a fini le {d}|est prêt|reste ouvert|a été payé|est en retard|est plein|contient {n} lignes|a été remplacé|repart|n'est qu'un nom|est bloqué",
+    "es": "va lento hoy|se rehízo|falló|tarda {n} segundos|está en verde|empieza a las {t}|acabó el {d}|está listo|sigue abierto|se pagó|llegó tarde|está lleno|tiene {n} filas|fue sustituido|vuelve a andar|es solo un nombre|está bloqueado",
+}
+REST = "||.|.|!|?|, please check|, as expected|; see the log|, sadly|: ok|...|, again|, I think|: done| now| for now| on Monday| in June|, bitte|, merci|, gracias"
+# Sentences of orders, addressed to someone.
+ORDERS = (
+    "please read the notes|please start run {n} over|look at page {n} first|set the limit to {v}|check the log|open the door|close ticket {n}|try {w} first|mind the {p}|watch the {p}|thanks for the help|good morning|no problem|sounds good|see you on Monday|call me later|text me the code|"
+    "write it down|keep it short|mark it as done|send the file|drop table {w}|bitte warten|gute Arbeit|merci beaucoup|à demain|muchas gracias|hasta luego|it is {t} now|meeting from {t} to {t}|due {d}|replayed {d} {t}|ping {i}|curl {i}:{n}|pip install {w}=={v}|{w} {v} came out|"
+    "pinned @ {v}|{w}: {n}|{w} = {v}|id {h}|trace {h}|@channel look here|@here lunch|{w}@{w} in the config|total {n} {n} {n}|serial {k}|article {k}|batch {k}|label {k}|reference {k}|model {k}|seq {k}|booking {k}|voucher {k}|lot {k}|Bestellnummer {k}|Artikel {k}|référence {k}|pedido {k}|order {k}|"
+    "the code is {k}|tracking {k}|sku {k}|coordinates {v}, {v}|score {v} of {n}|{n} or {n}|from {n} to {n}|room {n}|floor {n}|bus {n}|lines {n}-{n}|{n} rows, {n} columns|{n} street lamps|{n} drive bays|{n} lanes merge|{n} places left|{n} way sync|{n} square meters|dial tone lost|number of rows: {n}|phone support is closed|the id column is null|mail server down|address space full|"
+    "a call to {w}() failed|the passport office is closed|name server error|street view loads|la rue est calme|der Weg ist das Ziel|la calle está vacía|an avenue to try: {w}|lane {n} is wet|swim in lane {n}|Flat {n} list|Apt update ran|Court is in session|Place the {p} here|Drive {n} is mounted"
+)
 
-EMAIL = """
-write me at {email}
-schreib an {email}, bitte
-mon adresse est {email}.
-mi correo es {email}
-Please send the export to {email}.
-invite {email} / read only
-the invite bounced for {email};
-[write back](mailto:{email})
-cc {email}, thanks
-<{email}> asked again
-two bounces today ({email}).
-backup contact is {email}; use it
-Contact: {email}
-login={email}
-from: {email}
-{email}
-user {email} signed in
-"""
+THINGS = "order|invoice|part|spare part|ticket|build|version|seq|sequence|serial|article|batch|label|reference|model|booking|voucher|lot|tracking|sku|code|row|page|line|port|shard|run|job|error|case|account|total|amount|Bestellung|Rechnung|Artikel|Auftrag|facture|commande|dossier|factura|pedido|expediente|rev|release|event|device|sensor|room|key|offset|checkpoint|epoch|quota"
+MEASURES = "s|ms|h|min|kg|km|m|days|hours|items|times|%|GB|rows|euros|people|Uhr|Tage|jours|fois|días|veces|points|steps|words|pages"
 
-PHONE = """
-Rückruf unter {phone}
-mi teléfono: {phone}
-phone:{phone}
-Tel {phone}
-Tel. {phone}
-joignable au {phone}.
-sms to {phone} failed
-no answer at {phone}, tried twice
-dial {phone} ext. 99
-dial {phone} x99
-My number is {phone}.
-whatsapp {phone}?
-téléphone : {phone}
-line 2 [{phone}]
-Handy: {phone}
-voicemail of {phone} is full
-call me on {phone}
-reach the on-call at {phone}, any time
-({phone})
-"""
+# Common words that are family names too, and words of which code names are made.
+PLAIN = "Birch|Field|Frost|Lake|Marsh|Moss|Reed|Sparrow|Stone|Vale|Brook|Hill|Heath|Rose|Snow|Bell|Hawk|Wood|Rivers|Fox|Wolf|Swan|Finch|Winter|Summer|Page|Glen|Dale|Meadow|Forest|Ray|Chase|Sage|Amber|Ruby|Pearl|Jade|Violet|Ivy|Holly|Hazel|Willow|Rowan|Ash|Flint|Ridge|Shore|Bank|Bridge|Thorn"
+CODE_A = "Blue|Silver|Golden|Red|Green|Black|White|Iron|Nickel|Crystal|Quiet|Rapid|Silent|Bright|Northern|Southern|Frozen|Hidden|Lucky|Velvet|Scarlet|Amber|Bronze|Cobalt|Crimson|Dusty|Electric|Gentle|Hollow|Ivory|Lunar|Misty|Neon|Orange|Paper|Rusty|Solar|Stormy|Timber|Urban|Wild|Young|Open|Deep|High|Cold|Warm|Sharp|Simple|Swift"
+CODE_B = "Falcon|Harbor|Comet|Lantern|Otter|Badger|Valley|Canyon|Signal|Beacon|Meteor|Anchor|Compass|Garden|Kettle|Ladder|Mirror|Needle|Orchid|Panther|Quartz|Rocket|Saddle|Tiger|Umbrella|Vector|Whale|Yacht|Zebra|Rudder|Castle|Dragon|Engine|Feather|Galaxy|Hammer|Island|Jungle|Kernel|Magnet|Nebula|Oasis|Pepper|Raven|Sphere|Tunnel|Voyage|Window|Harvest|Tower"
 
-ID = """
-{id} was rejected by the check
-on file under {id};
-please store {id}
-copied {id} from the form
-verified with {id}.
-a typo in {id}?
-({id})
-for the file: {id}
-scan shows {id}
-KYC needs {id}, he said
-"""
+# Common given and family names; the lexicon and invented names come on top.
+GIVEN = (
+    "James Mary John Linda Robert Susan Michael Karen David Nancy Daniel Emma Laura Kevin Rachel Brian Alice Peter Sofia Thomas Hannah Jürgen Anke Stefan Ursula Heike Lukas Jonas Greta Pierre Amélie Luc Chloé Étienne Manon Benoît "
+    "Carlos María José Lucía Pablo Carmen Javier Inés Rajesh Priya Anil Deepa Wei Ming Yuki Hiroshi Fatima Omar Layla Ahmed Olga Ivan Nadia Chinedu Amara Kwame Ingrid Lars Søren Piotr Agnieszka Marco Giulia Tariq Zeynep Mehmet"
+).split()
+FAMILY = (
+    "Johnson Williams Brown Davis Wilson Anderson Thompson Clark Lewis Walker Hall Allen Wright Scott Adams Nelson Mitchell Roberts Turner Collins Müller Schmidt Schneider Fischer Weber Becker Hoffmann Schäfer Koch Richter Dubois Moreau "
+    "Laurent Lefèvre Fournier Girard Rousseau García Martínez López Sánchez Pérez Gómez Fernández Kumar Sharma Patel Singh Gupta Chen Wang Zhang Nguyen Tanaka Suzuki Khan Hussein Ivanova Petrov Okafor Mensah Larsen Jensen Kowalski Nowak Rossi Bianchi Yilmaz Demir O'Brien O'Neill"
+).split()
+HEADS = "b br c ch d dr f fl g gr h j k kl l m n p pr r s sch sk st t tr v w x y z qu th vl sh".split()
+VOWELS = "a e i o u ai ee ou ie au ö ü é á y".split()
+TAILS = "n r l s t k m nd rk ls rt x th sk nn ll ck ng nt rd".split()
+TITLES = "Dr.|Prof.|Mr.|Mrs.|Ms.|Dr|Mr|Mrs|Ms|Mme|Mlle|Herr|Frau|Monsieur|Madame|Señor|Señora|Sr.|Sra.|Prof. Dr.|Herrn|Don|Doña|Captain|Judge|Sir"
 
-ADDRESS = """
-mi dirección es {address}
-mi dirección es {address}, {town}
-I live at {address}.
-I live at {address}, 99999 {town}.
-we moved to {address} last month
-we moved to {address}, {town} last month
-the courier went to {address} instead
-the sensor hangs at {address} since May
-the sensor hangs at {address}, {town} 99999 since May
-New office: {address}
-New office: {address}, {town}
-bitte an {address} liefern
-bitte an {address}, 99999 {town} liefern
-wohnt {address}
-wohnt {address}, {town}
-j'habite au {address}.
-j'habite au {address}, {town} 99999.
-livrer au {address}, svp
-livrer au {address}, {town}, svp
-ship it to {address}
-ship it to {address}, {town}
-invoice goes to {address};
-invoice goes to {address}, {town};
-from {address} it is a short walk
-from {address}, {town} it is a short walk
-pickup: {address}
-pickup: {address}, {town} 99999
-({address})
-({address}, {town})
-"""
+TOWNS = "Springfield|London|Leeds|Bristol|Boston|Denver|Austin|Chicago|Seattle|Portland|Berlin|München|Hamburg|Köln|Leipzig|Dresden|Bad Homburg|Paris|Lyon|Nantes|Lille|Saint-Denis|Aix-en-Provence|Madrid|Sevilla|Valencia|Bilbao|Las Palmas|Zürich|Wien|Salem|Bath|New Haven|Oak Park|Santa Fe|Graz|Metz|Burgos"
+DOMAINS = "gmail.com|outlook.com|proton.me|yahoo.co.uk|web.de|gmx.net|orange.fr|correo.es|acme.io|uni-mainz.de|city.gov|school.edu|firm.co|mail.company.com|team.dev|shop.online|bank.ch|hospital.org|support.site.net|labs.ai|klinik.at|mairie.fr|ayto.es|news.info|x.invalid|demo.test|my.example|foo.example.com|host.local|box.eu"
+MAIL_WORDS = "info support sales hello office admin billing team jobs press contact service hr help news desk".split()
+STREETS = "Oak|Maple|Church|Station|High|Victoria|King|Queen|Mill|Park|Cedar|Elm|Pine|Lincoln|Madison|Jefferson|Washington|Franklin|Highland|Sunset|Lakeview|Hillcrest|Riverside|Chestnut|Walnut|Spruce|Dogwood|Prospect|Grove|School|Market|Bridge|Castle|Garden|Orchard|Spring|Valley|Pleasant|College|Harbour|Pennsylvania|Michigan|Montgomery|Cambridge|Windsor|York|Albert|George|Main|Third|Fifth|42nd|8th|Martin Luther King|Old Town|St. James|Saint Mary"
+STREET_A = "Ash|Birk|Brom|Clay|Cran|Dun|East|Fair|Glen|Hart|Ing|Kings|Lang|Mar|Nor|Oak|Pem|Quin|Rad|Sher|Thorn|Under|Wal|West|Wink|Yew|Black|Broad|Cold|Green"
+STREET_B = "field|wood|ford|ham|ton|ley|bury|ridge|well|stead|combe|brook|dale|mere|worth|hurst|gate|side|by|shaw|bourne|cliff|port|view|land|more|thorpe|wick|den|moor"
+KINDS = "Street|St.|St|Avenue|Ave|Ave.|Road|Rd|Rd.|Lane|Ln|Ln.|Court|Ct|Ct.|Drive|Dr|Dr.|Terrace|Close|Crescent|Parkway|Pkwy|Way|Boulevard|Blvd|Blvd.|Place|Pl.|Square|Sq.|Row|Hill|Walk|Trail|Circle|Highway|Alley|Mews|Gardens"
+UNITS = "Suite|Flat|Apt|Apt.|Unit|Apartment|Floor|Ste.|Room"
+GERMAN = "Haupt|Bahnhof|Goethe|Schiller|Garten|Berg|Wald|Wiesen|Kirch|Dorf|Linden|Eichen|Rosen|Berliner |Münchner |Hamburger |Lange |Neue |Mozart|Beethoven|Post|Brücken|Ring|Sonnen|Feld|Mühl|Schloss|Park|See|Hafen|Bismarck|Kaiser|Friedrich-Ebert-|Albert-Einstein-|Industrie|Weinberg|Kasernen|Jäger|Fischer|Weber"
+GERMAN_KINDS = "straße|straße|str.|weg|gasse|allee|platz|strasse|damm|ufer|ring|steig"
+GERMAN_PLACES = "Am Markt|Am Bahnhof|An der Kirche|Zum Sportplatz|Im Winkel|Zur Mühle|Auf dem Berg|Am Stadtpark|An den Linden|Hinter der Mauer|Unter den Eichen|Am Hang|Im Tal|Zum Hafen|An der Brücke|Am Waldrand|Zur alten Post|Im Grund|Beim Rathaus|Am Kanal|Am Bach|Zum Hof|Am Anger|Im Feld|An der Au"
+FRENCH = "rue|avenue|allée|impasse|boulevard|place|chemin|quai|route|cours|square|passage"
+FRENCH_NAMES = "de la Paix|de la République|des Écoles|du Moulin|de l'Église|Victor Hugo|Jean Jaurès|des Fleurs|du Château|Pasteur|de Lyon|des Acacias|de la Gare|du Port|Saint-Michel|Voltaire|de la Mairie|des Vignes|du Stade|de Bretagne|des Champs|de l'Abbaye|du Marché|Émile Zola|Gambetta|des Lilas|de la Fontaine|du Lac|de l'Étang|des Bois|de la Forge|du Vieux Pont|de la Petite Vitesse|Haute"
+SPANISH = "Calle|Calle|C/|Avda.|Avenida|Paseo|Plaza|Camino|Ronda|Travesía|Carretera|calle|avenida"
+SPANISH_NAMES = "Mayor|de la Constitución|del Sol|de Alcalá|Real|de los Reyes|de la Iglesia|Gran Vía|San Juan|de la Paz|del Carmen|Cervantes|de Goya|Nueva|del Río|de las Flores|de Madrid|Santa Ana|del Mar|de la Libertad|Colón|del Prado|de la Luna|Dos de Mayo|de los Pinos|del Pozo|Vieja|de la Fuente|del Norte|Tres Cruces|Buenavista|de la Sierra|Ancha|del Castillo"
+ID_LABELS = {
+    "ssn": "SSN|SSN:|ssn|social security number|social security number:|social security no.|Social Security #|my social is|ssn is|SSN is|soc. sec. no.|SSN=",
+    "nir": "NIR|NIR:|NIR :|n° sécurité sociale|numéro de sécurité sociale|n° de sécu|sécu :|numéro de sécu|sécurité sociale :",
+    "tax": "Steuer-ID|Steuer-ID:|Steuer-Identifikationsnummer|IdNr.|IdNr|tax id|tax id:|tax number|TIN|TIN:|Steuernummer|Steuer-IdNr.|id card no.|ID card|id number|id number:|Ausweisnummer|Personalausweis",
+    "nino": "NINO|NINO:|NI number|NI number:|national insurance|national insurance number|National Insurance no.|NI no.|",
+    "dni": "DNI|DNI:|DNI nº|documento|documento:|NIE|NIE:|NIF|NIF:|identidad|documento de identidad|carné|con DNI",
+    "pass": "passport|passport no.|passport number|passport:|Passport No|passeport|passeport n°|n° de passeport|pasaporte|pasaporte:|pasaporte nº|Reisepass|Reisepass Nr.|Reisepassnummer|Pass-Nr.",
+}
 
-NOTHING = """
-error 9999999 in shard 9
-backlog at 999 of 9,999
-order X9999999 shipped
-latency p99 is 999 ms
-dot 9 at row 99 is red
-checkpoint 999-999 written
-seq 9999 999 999
-seq 1415 555 999
-999-99 is a build label
-661-99 is a build label
-hash 9f999ab999
-replay 2017-99-99 99:99:99 done
-spare part 999-99-999
-spare part 666-99-999
-version pinned @ 9.99
-invoice 99 999 999 999 is paid
-build 99.99.9 passed
-see page 99 of the plan
-set importance to 9.99
-the {plain} export finished at 99:99
-ticket 9999-9999 stays open
-Lane 99 of the pipeline stalls
-rue the day of shard 9
-node 10.0.0.99 restarted
-Avenue Q9 board is frozen
-please retry run 999999-9999
-agent-core@9.9.0 is installed
-merge window 99:99-99:99
-Dr. mode off
-Mr. mode on
-el índice quedó vacío
-quota 999 of 999 used
-quota 666 of 999 used
-avenue of attack: the parser
-schema v9@main
-{plain} period begins soon, adapt the schedule.
-{plain} relay test ok
-uses example.net style paths
-die Erinnerung wurde ersetzt
-Velocity Gate opens at 99
-The recall step looks slow today.
-the Tavern Hill demo failed
-the {plain} layer is disabled
-on a relancé l'agent deux fois
-@channel please read
-we kept 9 street tiles in cache
-mounted 9 Drive letters
-{plain} and {plain} are only theme names
-{plain} and {plain} are only theme names
-{plain} and {plain} share a folder
-Unit 9 test passed
-Suite 99 is green
-{plain} tiles load fine in the map view.
-Kest Relay is only a codename
-{plain}, gracias por la ayuda
-{plain} mode is on
-{plain} the log aloud, said the typo
-{plain} mapping updated
-Copper Heron release is tagged
-subject: quota
-{plain} and {plain} are table aliases
-{actor} {act}
-{actor} {act}
-{actor} {act}
-{actor} {act}
-{actor} {act}
-{actor} {act}
-{actor} {act}
-{actor} {act}
-{actor} {act}
-{actor} {act}
-"""
 
-ACTOR = "el registro|le cache|das Protokoll|shard 9|the planner|our recall step|one of the tools|a stale cursor|this agent|the old snapshot|the nightly sweep|the summary job|la cola|der Dienst|the worker"
-ACT = (
-    "kept 999 rows|was rebuilt at 99:99|dropped the last 99 turns|timed out after 99 s|answered twice|ignored the hint|returned nothing|needs another look|holds two versions of the fact|est reparti à zéro|sigue pendiente|läuft wieder"
-)
-TAIL = "|.|; ok|, please check| again|||"
-
-TITLES = "Dr.|Prof.|Mr.|Mrs.|Ms.|Mme|Herr|Frau|Sra.".split("|")
-TOWNS = "Norvale|Eastmere|Teslingen|Bréhanne|Villaseca del Lino|Ostbrück|Marlow Bay|Saint-Arval|Peñaluz".split("|")
-DOMAINS = "example.net|example.org|post.example|mail.example|eu.mail.example|corp.invalid|inbox.test".split("|")
-STEMS = "Millbrook|Copperfell|Quarrydale|Harrowgrove|Tealwick|Osprey|Larkmoor|Ashvane|Fennhollow|Windle|Brackenshaw|Otterford|Thistledown|Rookhurst|Elmscar".split("|")
-KINDS = "Street|St.|Street|Avenue|Ave|Ave.|Road|Rd|Rd.|Lane|Ln|Ln.|Court|Ct|Drive|Dr|Terrace|Close|Crescent|Parkway|Way|Boulevard|Blvd|Blvd.|Place|Square".split("|")
-GERMAN = "Holm|Brunn|Linden|Mühlen|Fähr|Kastell|Birken|Ufer|Schul|Garten".split("|")
-GERMAN_KINDS = "straße|str.|weg|gasse|allee|platz|strasse".split("|")
-GERMAN_PLACES = "Teichrand|Alten Wehr|Kupferbach|Falkenhain|Neuen Markt|Roten Turm".split("|")
-FRENCH = "rue|avenue|allée|impasse|boulevard|place|chemin".split("|")
-FRENCH_NAMES = "de la Brume|des Cendrières|du Vieux Lavoir|des Tilleuls Gris|du Moulin Bas|de l'Écluse|des Trois Puits".split("|")
-SPANISH = "Calle|C/|Avda.|Paseo|Plaza|Avenida".split("|")
-SPANISH_NAMES = "Tres Molinos|de la Niebla|del Almendro Seco|Piedraluna|de los Olmos|Fuente Honda".split("|")
-SYLLABLES = "bra dre fen gor hul il jeth kest mir nor ost ozr pryl quor sarn tav thol ulv vel wex yarl zin ald bren carv dorsk eskel fald grind holv istr jask kolv lurn mesk nald orv pelk rusk skarn tunk vosk mar len tor bel san rik".split()
-ENDINGS = "ann ard dun essa ette ik ira iuth mira ola oth rel une ya émi öl arez aty eau enko ini mund ovar quorn sted ström uld wick son berg elli ova".split()
+def split(items, part: str) -> list:
+    """Every fifth entry is for testing, the others for training."""
+    items = items.split("|") if isinstance(items, str) else list(items)
+    return [x for i, x in enumerate(items) if (i % 5 == 3) == (part == "test")] or items
 
 
 class Maker:
-    """Fills slots at random from a seed. ``given`` and ``family`` are the lexicon's words."""
+    """Makes labelled pieces at random from a seed, of the entries of one part."""
+
+    def __init__(self, seed: int, lexicon: list[tuple[str, str]], part: str = "train", words=()):
+        self.r, self.part = random.Random(seed), part
+        self.words = split(sorted(w for w in words if w.islower()), part)
+        self.proper = split(sorted(w for w in words if not w.islower() and w.lower() not in words), part)
+        self.lists: dict = {}
+        common = {w.lower() for w in PLAIN.split("|")}
+        of = lambda kind: split(sorted({t for t, k in lexicon if t and k == kind}), part)
+        self.given, self.family = of("given"), of("family")
+        self.plain = [w for w in PLAIN.split("|")] + [w for w in self.family if w.lower() in common]
+
+    def any(self, items) -> str:
+        """Of a closed class of words, all of which belong to both parts."""
+        return self.r.choice(items.split("|"))
 
-    def __init__(self, seed: int, given: list[str], family: list[str], plain: list[str]):
-        self.r, self.g, self.f, self.p = random.Random(seed), given, family, plain
+    def pick(self, items) -> str:
+        key = items if isinstance(items, str) else id(items)
+        if key not in self.lists:
+            self.lists[key] = split(items, self.part)
+        return self.r.choice(self.lists[key])
+
+    def maybe(self, p: float) -> bool:
+        return self.r.random() < p
 
     def digits(self, pattern: str) -> str:
-        return "".join(self.r.choice("0123456789") if c == "9" else c for c in pattern)
+        """# is any digit, ¤ any but zero; other characters stand."""
+        return "".join(self.r.choice("0123456789") if c == "#" else self.r.choice("123456789") if c == "¤" else c for c in pattern)
 
-    def name(self, known: list[str]) -> str:
-        if known and self.r.random() < 0.7:
-            return self.r.choice(known)
-        w = (self.r.choice(SYLLABLES) + self.r.choice(ENDINGS)).title()
+    # finds
+
+    def invented(self) -> str:
+        """A made-up name, of two or three syllables."""
+        r = self.r
+        w = "".join(r.choice(HEADS) + r.choice(VOWELS) for _ in range(r.choice((1, 1, 2))))
+        return (w + (r.choice(HEADS) + r.choice(VOWELS) if self.maybe(0.3) else "") + r.choice(TAILS)).title()
+
+    def name(self, known: list[str], common: list[str]) -> str:
         x = self.r.random()
-        return "Mac" + w if x < 0.04 else "O'" + w if x < 0.08 else w
+        if known and x < 0.3:
+            return self.r.choice(known)
+        if x < 0.5:
+            return self.pick(common)
+        if x < 0.6 and common is FAMILY:
+            return self.pick(STREET_A) + self.pick(STREET_B)
+        if x < 0.7 and self.proper:
+            return self.r.choice(self.proper)
+        if x < 0.74 and self.words:
+            return self.r.choice(self.words).title()
+        w = self.invented()
+        return "Mac" + w if x < 0.76 else "O'" + w if x < 0.79 else w
 
     def person(self) -> tuple[str, str]:
         """(title before it, the name words)."""
-        c, given, family, title = self.r.random(), self.name(self.g), self.name(self.f), ""
-        if self.r.random() < 0.05:
-            family += "-" + self.name(self.f)
-        i = self.r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        if c < 0.4:
+        r = self.r
+        given, family = self.name(self.given, GIVEN), self.name(self.family, FAMILY)
+        if self.maybe(0.06):
+            family += "-" + self.name(self.family, FAMILY)
+        i, c, title = r.choice("ABCDEFGHIJKLMNOPRSTVW"), r.random(), ""
+        if c < 0.45:
             n = f"{given} {family}"
-        elif c < 0.5:
+        elif c < 0.53:
             n = f"{given} {i}. {family}"
-        elif c < 0.6:
+        elif c < 0.61:
             n = f"{i}. {family}"
-        elif c < 0.7:
+        elif c < 0.69:
             n = f"{family}, {given}"
-        elif c < 0.82:
+        elif c < 0.81:
             n = given
-        elif c < 0.92:
-            title, n = self.r.choice(TITLES) + " ", family
+        elif c < 0.91:
+            title, n = self.any(TITLES) + " ", family if self.maybe(0.7) else f"{given} {family}"
+        elif c < 0.95:
+            n = f"{given} {family} {self.name(self.family, FAMILY)}"
         else:
-            n = family + " " + self.name(self.f) if c > 0.98 else f"{given} {family}"
-        x = self.r.random()
-        return title, n.lower() if x < 0.1 and not title else n.upper() if x < 0.18 and not title else n
+            n = f"{given} {self.name(self.given, GIVEN)} {family}"
+        x = r.random()
+        if not title and " " in n:
+            n = n.lower() if x < 0.12 else n.upper() if x < 0.2 else n
+        return title, n
 
     def ascii(self, w: str) -> str:
-        import unicodedata
-
-        return unicodedata.normalize("NFD", w).encode("ascii", "ignore").decode().replace("'", "").replace("-", "").lower()
+        return "".join(c for c in unicodedata.normalize("NFD", w).lower() if c.isascii() and c.isalnum())
 
     def email(self) -> str:
-        g, f, r = self.ascii(self.name(self.g)), self.ascii(self.name(self.f)), self.r
-        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}{f}", f"{f}{r.randint(1, 99)}"])
-        if r.random() < 0.25:
-            local += "+" + r.choice(["lists", "bot", "alerts", "x"])
-        d, x = r.choice(DOMAINS), r.random()
-        if x < 0.08:
+        r = self.r
+        g, f = self.ascii(self.name(self.given, GIVEN)) or "x", self.ascii(self.name(self.family, FAMILY)) or "y"
+        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g[0]}{f}", f"{g[0]}.{f}", f"{f}{r.randint(1, 1999)}", g, f"{f}.{g}", self.pick(MAIL_WORDS), f"{g}{f}"])
+        if self.maybe(0.15):
+            local += "+" + r.choice(["lists", "bot", "alerts", "x", "news", "work", "2024"])
+        d, x = self.pick(DOMAINS), r.random()
+        if x < 0.06:
             return f"{local} (at) {d}"
+        if x < 0.1:
+            return f"{local}(at){d}"
         if x < 0.16:
             return f"{local}[at]{d.replace('.', '[dot]')}"
-        if x < 0.24:
+        if x < 0.2:
+            return f"{local} [at] {d.replace('.', ' [dot] ')}"
+        if x < 0.28:
             return f"{local} at {d.replace('.', ' dot ')}"
-        if x < 0.3:
+        if x < 0.33:
             return f"{local}＠{d}"
         out = f"{local}@{d}"
-        return out.upper() if r.random() < 0.1 else out
+        return out.upper() if self.maybe(0.08) else out.title() if self.maybe(0.04) else out
 
     def phone(self) -> str:
-        a = self.r.choice(["212", "303", "415", "503", "617", "706", "808"])
-        forms = [f"+1 {a} 555 0999", f"+1-{a}-555-0999", f"1{a}5550999", f"001 {a} 555 0999", f"{a}.555.0999", f"{a}-555-0999", f"{a} 555 0999", f"({a}) 555-0999", f"({a}) 555-0999"]
-        forms += ["+44 (0)20 7946 0999", "020 7946 0999", "+44 7700 900999", "07700 900999", "07700 900 999"]
-        forms += ["+49 30 23125999", "+49 (30) 23125-999", "030/23125999", "030 23125 999", "+49 30 23125 999"]
-        forms += ["+33 6 39 98 99 99", "06.39.98.99.99", "06 39 98 99 99", "01 99 00 99 99", "+34 699 999 999"]
-        n = self.digits(self.r.choice(forms))
-        return n.replace(" ", "\u00a0") if self.r.random() < 0.05 else n.replace("-", "\u2011") if self.r.random() < 0.05 else n
-
-    def id(self) -> tuple[str, str]:
+        us = ["+1 ¤## ¤## ####", "+1-¤##-¤##-####", "1-¤##-¤##-####", "1¤##¤######", "001 ¤## ¤## ####", "¤##.¤##.####", "¤##-¤##-####", "¤## ¤## ####", "(¤##) ¤##-####", "(¤##) ¤##-####", "+1 (¤##) ¤##-####", "(¤##)¤##-####", "¤##¤######"]
+        uk = ["+44 (0)20 ¤### ####", "020 ¤### ####", "+44 20 ¤### ####", "+44 7¤## ######", "07¤## ######", "07¤## ### ###", "0161 ¤## ####", "01¤## ######", "+447¤########", "07¤########"]
+        de = ["+49 30 ¤#######", "+49 (30) ¤####-##", "030/¤######", "030 ¤### ####", "+49 ¤# ¤######", "0171 ¤######", "0171/¤######", "+49 171 ¤## ## ##", "0221-¤#####", "089 ¤## ##-##", "+49 (0)40 ¤######", "030 ¤#### ###"]
+        fr = ["+33 6 ## ## ## ##", "06.##.##.##.##", "06 ## ## ## ##", "01 ## ## ## ##", "+33 (0)1 ## ## ## ##", "06########", "07-##-##-##-##", "+336########"]
+        es = ["+34 6## ### ###", "6## ### ###", "91 ¤## ## ##", "+34 91 ¤## ## ##", "6## ## ## ##", "+34 6########", "6##-###-###"]
+        n = self.digits(self.r.choice(self.r.choice((us, us, uk, de, fr, es))))
+        return self.odd(n)
+
+    def odd(self, n: str) -> str:
+        """Some numbers have no-break spaces or other hyphens."""
+        x = self.r.random()
+        return n.replace(" ", "\u00a0") if x < 0.05 else n.replace("-", "\u2011") if x < 0.09 else n.replace("-", "\u2010") if x < 0.1 else n
+
+    def id_number(self) -> tuple[str, str]:
         """(label before it, the number)."""
-        r = self.r
-        kind = r.randrange(6)
-        if kind == 0:
-            label = r.choice(["", "SSN ", "SSN: ", "social security number ", "social security number: ", "social security no. ", "my social is ", "ssn is ", "", ""])
-            n = r.choice(["666-99-9999", "666 99 9999", "666.99.9999", "666999999", "666-99-9999"] if label else ["666-99-9999"])
-        elif kind == 1:
-            label, n = r.choice(["NIR ", "NIR: ", "n° sécurité sociale ", "numéro de sécu "]), r.choice("12") + " 99 99 99 999 999 99"
-            if r.random() < 0.15:
-                n = n.replace(" ", "")
-        elif kind == 2:
-            label, n = r.choice(["Steuer-ID ", "Steuer-ID: ", "tax id ", "tax number ", "id card no. ", "IdNr. "]), r.choice(["99 999 999 999", "99999999999"])
-        elif kind == 3:
-            x = r.choice("ABCDFMPUXYZ")
-            label, n = r.choice(["", "NINO ", "national insurance ", "NI number "]), r.choice([f"QQ 99 99 99 {x}", f"QQ999999{x}"])
-        elif kind == 4:
-            label, n = r.choice(["documento ", "DNI ", "DNI: ", "documento: ", "NIE ", "NIF ", "NIF: "]), r.choice(["99999999", "99999999-"]) + r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")
+        r, kind = self.r, self.r.choice(list(ID_LABELS))
+        label = self.any(ID_LABELS[kind])
+        if kind == "ssn":
+            label = "" if self.maybe(0.3) else label
+            n = r.choice(["¤##-¤#-####", "¤## ¤# ####", "¤##.¤#.####", "¤##¤#####", "¤##-¤#-####"]) if label else "¤##-¤#-####"
+        elif kind == "nir":
+            n = r.choice("12") + r.choice([" ## ## ## ### ### ##", " ## ## ## ### ### ##", "##############"])
+        elif kind == "tax":
+            n = r.choice(["¤# ### ### ###", "¤##########", "¤# ### ### ###"])
+        elif kind == "nino":
+            a, x = r.choice("ABCEGHJKLMNOPQRSTWXYZ") + r.choice("ABCEGHJKLMNPQRSTWXYZ"), r.choice("ABCDFMPX")
+            n = r.choice([f"{a} ## ## ## {x}", f"{a}######{x}", f"{a}###### {x}", f"{a} ###### {x}"])
+        elif kind == "dni":
+            n = r.choice(["########", "########-", "######## ", "##.###.###-", "X#######", "Y-#######-"]) + r.choice("ABCDEFGHJKLMNPQRSTVWXYZ")
         else:
-            label, n = r.choice(["passport no. ", "passeport n° ", "pasaporte ", "Reisepass Nr. ", "passport "]), r.choice("QXYZ") + "9999999"
-        if label.endswith(" ") and not label.endswith(("is ", ": ")) and r.random() < 0.2:
-            label = label[:-1] + ": "
+            n = r.choice([r.choice("ABCFGHKLMNPRTXYZ") + "#######", r.choice("CFGHJK") + "########", "##" + r.choice("ABCX") + r.choice("ADX") + "#####", r.choice("ABCPX") + r.choice("ABCX") + "#######", "¤########"])
         n = self.digits(n)
-        return label, n.replace(" ", "\u00a0") if r.random() < 0.05 else n.replace("-", "\u2011") if r.random() < 0.05 else n
+        if label and not label.endswith((":", "=", "is")) and self.maybe(0.15):
+            label += ":"
+        return label + (" " if label and not label.endswith("=") else ""), self.odd(n)
 
-    def address(self) -> str:
+    def address(self, lang: str) -> str:
         r = self.r
-        n, k = r.randint(1, 999) if r.random() < 0.2 else r.randint(1, 140), r.randrange(8)
-        if k < 4:
-            street = f"{r.choice(STEMS)} {r.choice(KINDS)}"
-            if r.random() < 0.2:
-                street = r.choice(["N.", "S.", "E.", "W.", "North", "South", "East", "West"]) + " " + street
-            a = f"{n} {street}"
-            if r.random() < 0.35:
-                a += f", {r.choice(['Suite', 'Flat', 'Apt', 'Unit', 'Apt.'])} {r.randint(1, 40)}{r.choice(['', '', 'A', 'B', 'C'])}"
-            return a.lower() if r.random() < 0.1 else a
-        if k < 5:
-            a = f"{r.choice(GERMAN)}{r.choice(GERMAN_KINDS)} {n}"
-            return a + r.choice(["", "", "", "a", "b", " b", " a"])
-        if k < 6:
-            return f"{r.choice(['Am', 'An der', 'Zum', 'Zur', 'Im'])} {r.choice(GERMAN_PLACES)} {n}"
-        if k < 7:
-            return f"{n}{r.choice(['', ' bis', ' ter', ',', ''])} {r.choice(FRENCH)} {r.choice(FRENCH_NAMES)}"
-        return f"{r.choice(SPANISH)} {r.choice(SPANISH_NAMES)} {r.choice(['', '', 'n.º '])}{n}"
-
-    def plain(self) -> str:
-        w = self.r.choice(self.p)
-        return w.lower() if self.r.random() < 0.3 else w
-
-    def fill(self, line: str) -> list[tuple[str, str]]:
-        """A sentence as (text, label) pieces; label '' is none."""
-        out, rest = [], line
+        n = r.randint(1, 2400) if self.maybe(0.25) else r.randint(1, 160)
+        if lang == "en":
+            street = self.pick(STREETS) if self.maybe(0.4) else self.pick(STREET_A) + self.pick(STREET_B) if self.maybe(0.8) else self.invented()
+            street += " " + self.any(KINDS)
+            if self.maybe(0.2):
+                street = r.choice(["N.", "S.", "E.", "W.", "North", "South", "East", "West", "NW", "SE"]) + " " + street
+            a = f"{n}{r.choice(['', '', '', '', '', 'A', 'b', '-' + str(n + 2)])} {street}"
+            if self.maybe(0.35):
+                a += f"{r.choice([', ', ', ', ', ', ' '])}{self.any(UNITS)} {r.randint(1, 90)}{r.choice(['', '', '', 'A', 'B', 'C', 'd'])}"
+            return a.lower() if self.maybe(0.1) else a.upper() if self.maybe(0.03) else a
+        if lang == "de":
+            if self.maybe(0.3):
+                return f"{self.pick(GERMAN_PLACES)} {n}"
+            a, k = self.pick(GERMAN), self.any(GERMAN_KINDS)
+            s = a + (k.title() if a.endswith((" ", "-")) else k)
+            return f"{s} {n}{r.choice(['', '', '', '', 'a', 'b', ' b', ' a', '-' + str(n + 2)])}"
+        if lang == "fr":
+            k, name = self.any(FRENCH), self.pick(FRENCH_NAMES)
+            return f"{n}{r.choice(['', '', '', ' bis', ' ter', ',', ''])} {k if self.maybe(0.8) else k.title()} {name}"
+        return f"{self.any(SPANISH)} {self.pick(SPANISH_NAMES)}{r.choice([' ', ' ', ', ', ' n.º ', ' nº ', ', n.º '])}{n}{r.choice(['', '', '', '', ', 2º B', ', 1º', ''])}"
+
+    def town(self, lang: str) -> str:
+        """What may follow an address: town and postcode."""
+        t = self.pick(TOWNS) if self.maybe(0.6) else self.invented()
+        z = self.digits(self.r.choice(["¤####", "¤####", "¤####-####"]))
+        return self.r.choice([f", {t}", f", {z} {t}", f", {t} {z}", f" in {t}", f", {t}, {z}", f" {z} {t}", f"\n{z} {t}"])
+
+    # what is none
+
+    def salad(self, least: int, most: int) -> str:
+        """Words of the public vocabulary at random."""
+        out = [self.r.choice(self.words) for _ in range(self.r.randint(least, most))] if self.words else []
+        if len(out) > 2 and self.maybe(0.3):
+            out.insert(self.r.randrange(1, len(out)), self.number() + (" " + self.any(MEASURES) if self.maybe(0.4) else ""))
+        return " ".join(out)
+
+    def number(self) -> str:
+        return self.digits(self.r.choice(["¤", "¤", "¤#", "¤##", "¤###", "¤####", "¤,###", "¤.#", "¤#####", "¤######", "¤# %", "-¤", "0.##", "¤#ms", "¤.#k", "¤/#", "¤#:1"]))
+
+    def key(self) -> str:
+        """Numbers that are like those of persons but name things."""
+        r = self.r
+        a = "".join(r.choice("ABCDEFGHKLMNPRSTUVWXYZ") for _ in range(r.choice((1, 2, 3, 4))))
+        return self.digits(r.choice(["¤##-###", "¤##-##-###", "¤#-##", "¤##-##", "¤###-####", "¤### ### ###", "¤# ### ### ###", "¤## ### ###", "¤### ###", "¤#########", "¤###-##-##", f"{a}-####", f"{a}#####", f"{a}#######", f"{a}-##-{a}", f"#{a}##", f"##-{a}-##", "¤.##.#", "¤##.###", "¤#/###", f"{a} ##", "######-####", "¤ ## ###", "¤### ¤## ###", "¤#####"]))
+
+    def word(self) -> str:
+        w = self.invented()
+        return self.r.choice([w, w.lower(), w, w + "Db", w.lower() + "-" + self.invented().lower(), w.lower() + "_id", w.lower() + ".py", w.upper()[:4]])
+
+    def fill(self, line: str) -> str:
+        out, rest = "", line
         while "{" in rest:
             before, _, rest = rest.partition("{")
             slot, _, rest = rest.partition("}")
-            out.append((self.digits(before), ""))
-            if slot == "person":
-                title, n = self.person()
-                out += [(title, ""), (n, "person")]
-            elif slot == "id":
-                label, n = self.id()
-                out += [(label, ""), (n, "id_number")]
-            elif slot in ("email", "phone", "address"):
-                out.append((getattr(self, slot)(), slot))
+            r = self.r
+            if slot == "w":
+                v = self.word()
+            elif slot == "p":
+                v = r.choice(self.plain)
+                v = v.lower() if self.maybe(0.4) else v
+            elif slot == "c":
+                v = self.pick(CODE_A) + " " + (self.pick(CODE_B) if self.maybe(0.7) else r.choice(self.plain)) if self.maybe(0.7) else r.choice([self.pick(CODE_B), self.invented() + " " + self.pick(CODE_B), r.choice(self.plain) + " " + self.pick(CODE_B)])
+            elif slot == "n":
+                v = self.number()
+            elif slot == "t":
+                v = self.digits(r.choice(["0#:##", "¤:##", "1#:##", "0#:##:##"]))
+            elif slot == "d":
+                v = self.digits(r.choice(["20##-0#-1#", "1#.0#.20##", "1#/0#/##", "May 1#", "2 June", "20##0#1#", "¤ Mar 20##"]))
+            elif slot == "h":
+                v = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((7, 8, 12, 16, 32))))
+            elif slot == "i":
+                v = ".".join(str(r.randint(0, 255)) for _ in range(4))
+            elif slot == "v":
+                v = self.digits(r.choice(["¤.#", "¤.#.#", "v¤", "v¤.#", "#.##", "¤.##.#", "¤#.#"]))
             else:
-                word = self.plain() if slot == "plain" else self.r.choice(TOWNS) if slot == "town" else self.digits(self.r.choice((ACTOR if slot == "actor" else ACT).split("|")))
-                out.append((word + (self.r.choice(TAIL.split("|")) if slot == "act" else ""), ""))
-        return [*out, (self.digits(rest), "")]
-
-
-def labelled_table(lexicon: list[tuple[str, str]], size: int = 6000, seed: int = 11) -> list[list[tuple[str, str]]]:
-    """``size`` labelled texts of one to four sentences. ``lexicon`` has (token, kind) rows; words of both
-    common and name use (short family names without a typical ending) serve as ordinary words too."""
-    given = sorted({t for t, k in lexicon if t and k == "given"})
-    family = sorted({t for t, k in lexicon if t and k == "family"})
-    plain = [w for w in family if len(w) <= 7 and w.isascii() and w.isalpha() and not any(w.lower().startswith(s) for s in SYLLABLES)]
-    m = Maker(seed, given, family, plain + ["Brook", "Hill", "Heath", "Rose", "Snow", "Bell", "Hawk"])
-    groups = [x.strip("\n").split("\n") for x in (PERSON, EMAIL, PHONE, ID, ADDRESS, NOTHING, NOTHING, NOTHING)]
-    out = []
-    for _ in range(size):
+                v = self.key()
+            out += before + v
+        return out + rest
+
+    # sentences
+
+    def neutral(self) -> list[tuple[str, str]]:
+        x = self.r.random()
+        if x < 0.25:
+            s = self.salad(2, 7)
+            if self.maybe(0.3):
+                s += " " + self.r.choice([self.number, self.key])()
+            if self.maybe(0.1) and self.proper:
+                s += " in " + self.r.choice(self.proper)
+        elif x < 0.37:
+            s = self.any(THINGS) + self.r.choice([" ", " ", " no. ", " number ", ": ", " #", "=", " n° ", " Nr. "]) + self.key()
+            if self.maybe(0.5):
+                s += " " + (self.salad(1, 3) if self.maybe(0.5) else self.pick(DOES[self.r.choice(["en", "en", "de", "fr", "es"])]))
+        elif x < 0.42:
+            s = f"{self.any(UNITS)} {self.r.randint(1, 90)} " + (self.salad(1, 3) if self.maybe(0.5) else self.pick(DOES["en"]))
+        elif x < 0.63:
+            s = self.pick(ORDERS)
+        else:
+            lang = self.r.choice(["en", "en", "en", "de", "fr", "es"])
+            s = self.pick(SUBJECT[lang]) + " " + self.pick(DOES[lang])
+        s = self.fill(s)
+        if self.maybe(0.5):
+            s = s[:1].upper() + s[1:]
+        return [(s + self.any(REST), "")]
+
+    def sentence(self, kind: str) -> list[tuple[str, str]]:
+        r, lang = self.r, self.r.choice(["en", "en", "de", "fr", "es"])
+        before = BEFORE.get((kind, ""), BEFORE.get((kind, lang)))
+        after = AFTER.get((kind, ""), AFTER.get((kind, lang)))
+        x = r.random()
+        left = "" if x < 0.25 else self.salad(1, 4) if self.maybe(0.3) else self.pick(before)
+        right = "" if x > 0.8 else self.salad(1, 4) if self.maybe(0.3) else self.pick(after)
+        if self.maybe(0.12):
+            left = (self.neutral()[0][0].rstrip(".!? ") + r.choice([", ", ": ", " - ", "; ", " ", " and "]) + left).strip()
+        if self.maybe(0.08):
+            right = (right + r.choice([", ", " and ", " - ", "; ", " "]) + self.neutral()[0][0]).strip()
+        if left and self.maybe(0.5):
+            left = left[:1].upper() + left[1:]
+        if left and not left.endswith(("(", "<", "=", "[", "\n")):
+            left += " "
+        out = [(left, "")]
+        if kind == "person":
+            title, n = self.person()
+            out += [(title, ""), (n, "person")]
+        elif kind == "id_number":
+            label, n = self.id_number()
+            out += [(label if self.maybe(0.7) or not left else label[:1].lower() + label[1:] if label[1:2].islower() else label, ""), (n, "id_number")]
+        elif kind == "address":
+            out += [(self.address(lang), "address"), (self.town(lang) if self.maybe(0.35) else "", "")]
+        else:
+            out += [(getattr(self, kind)(), kind)]
+        if left.rstrip().endswith("(") and not right.startswith(")"):
+            right = ")" + ("" if not right or right[0] in ".,;?!'" else " ") + right
+        if right and right[0] not in ".,;:!?')>":
+            right = " " + right
+        return [*out, (right, "")]
+
+    def text(self) -> list[tuple[str, str]]:
+        """One to four sentences."""
         pieces: list[tuple[str, str]] = []
-        for i in range(m.r.choice((1, 1, 2, 2, 3, 4))):
+        for i in range(self.r.choice((1, 1, 2, 2, 3, 4))):
             if i:
-                pieces.append((m.r.choice((" ", " ", "\n", " - ", ". ")), ""))
-            pieces += m.fill(m.r.choice(m.r.choice(groups)))
-        out.append(pieces)
-    return out
+                pieces.append((self.r.choice((" ", ". ", "\n", " - ", ". ", "; ", " / ")), ""))
+            kind = self.r.choice(("person", "person", "person", "person", "email", "phone", "id_number", "address", "address", "", "", "", "", ""))
+            pieces += self.sentence(kind) if kind else self.neutral()
+        return [p for p in pieces if p[0]]
+
+
+def labelled_table(lexicon: list[tuple[str, str]], size: int = 6000, seed: int = 11, part: str = "train", words=()) -> list[list[tuple[str, str]]]:
+    """``size`` labelled texts as pieces (text, type); '' is no find. ``lexicon`` has (token, kind) rows."""
+    m = Maker(seed, lexicon, part, words)
+    return [m.text() for _ in range(size)]
