@@ -19,6 +19,7 @@ smaller one if given. Ties of the seeded order are settled by document id.
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,27 +27,72 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .tokenizer import VOCABULARY, count_column
 
-#: Blocks of the mixture, and shards they are dealt to.
-BLOCKS, SHARDS = 4096, 16
+#: Blocks of the mixture at least, blocks of the smallest share at least, and shards they are dealt to.
+BLOCKS, LEAST_BLOCKS, SHARDS = 4096, 64, 16
 #: Sources that are apportioned on the driver at most.
 MAX_SOURCES = 10_000
 
 
-def sainte_lague(shares: dict[str, float], seats: int, shards: int, room: dict[str, int]) -> dict[str, list[int]]:
-    """Seats of each source in each shard; ``room`` is the most seats a source can fill."""
+def _seats(shares: dict[str, float], seats: int) -> dict[str, int]:
+    """The ``seats`` highest quotients ``share / (2 * seats won + 1)``, ties by name.
+
+    All quotients above a bound are counted at once; the bound is halved in
+    until few seats are left, which go one by one to the highest quotients. So
+    the work follows the number of sources, not of seats.
+    """
+    above = lambda v, t: max(0, -int(-(v / t - 1) // 2))  # noqa: E731  number of quotients over t
+    low, high = 0.0, max(shares.values(), default=0.0)
     won = dict.fromkeys(shares, 0)
-    out = {s: [0] * shards for s in shares}
-    heap = [(-v, s) for s, v in sorted(shares.items()) if v > 0 and room[s] > 0]
+    if not high:
+        return won
+    for _ in range(200):
+        t = (low + high) / 2
+        if t <= 0 or t in (low, high):
+            break
+        got = {s: above(v, t) for s, v in shares.items()}
+        n = sum(got.values())
+        if n <= seats:
+            high, won = t, got
+            if seats - n <= len(shares):
+                break
+        else:
+            low = t
+    heap = [(-v / (2 * won[s] + 1), s) for s, v in sorted(shares.items()) if v > 0]
     heapq.heapify(heap)
+    for _ in range(seats - sum(won.values())):
+        _, s = heapq.heappop(heap)
+        won[s] += 1
+        heapq.heappush(heap, (-shares[s] / (2 * won[s] + 1), s))
+    return won
+
+
+def apportion(shares: dict[str, float], seats: int, room: dict[str, int]) -> dict[str, int]:
+    """Seats of each source; one that has no more room leaves its seats to the others."""
+    full, live = {s: 0 for s, v in shares.items() if v <= 0 or room[s] <= 0}, {s: v for s, v in shares.items() if v > 0 and room[s] > 0}
+    while True:
+        got = _seats(live, seats - sum(full.values())) if live else {}
+        over = [s for s, n in got.items() if n >= room[s] and n > 0]
+        if not any(got[s] > room[s] for s in over):
+            return {s: full.get(s, got.get(s, 0)) for s in shares}
+        for s in over:
+            full[s] = room[s]
+            del live[s]
+
+
+def sainte_lague(shares: dict[str, float], seats: int, shards: int, room: dict[str, int]) -> dict[str, list[int]]:
+    """Seats of each source in each shard; ``room`` is the most seats a source can fill.
+
+    Shards are dealt one after the other: more seats never take one away, so a
+    shard gets what its seats add.
+    """
+    out = {s: [0] * shards for s in shares}
+    before, dealt = dict.fromkeys(shares, 0), 0
     for k in range(shards):
-        for _ in range(seats // shards + (k < seats % shards)):
-            if not heap:
-                return out
-            _, s = heapq.heappop(heap)
-            won[s] += 1
-            out[s][k] += 1
-            if won[s] < room[s]:
-                heapq.heappush(heap, (-shares[s] / (2 * won[s] + 1), s))
+        dealt += seats // shards + (k < seats % shards)
+        now = apportion(shares, dealt, room)
+        for s in shares:
+            out[s][k] = now[s] - before[s]
+        before = now
     return out
 
 
@@ -59,7 +105,8 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: i
 
     ``copies`` has (doc_id, source, copy, shard, tokens), one row per appearance;
     ``report`` has (source, target_share, max_repeats, documents, available_tokens,
-    mixed_tokens, share, most_copies), one row per target.
+    mixed_tokens, share, most_copies, blocks), one row per target: a source that
+    got no block, or no document, shows as such.
 
     A source may hold any part of the rows: its seeded order is cut into hash
     ranges, ranges are summed map-side, and running sums are formed within a
@@ -89,7 +136,9 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: i
     shares = {s: v / scale for s, v in have.items()}
     most = min((sums[s][0] * goals[s][1] / v for s, v in shares.items()), default=0)
     total = int(min(most, total_tokens or most))
-    seats = max(1, min(blocks, total))
+    # so many blocks that the smallest share gets its part of them
+    fine = math.ceil(LEAST_BLOCKS / min(shares.values(), default=1.0))
+    seats = max(1, min(max(blocks, fine), total))
     block = total / seats
     room = {s: int(sums[s][0] * goals[s][1] / block + 1e-9) if block else 0 for s in shares}
     quota = sainte_lague(shares, seats, shards, room)
@@ -115,7 +164,8 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: i
 
     mixed = out.groupBy("source").agg(F.sum("tokens").alias("mixed"), F.max(F.col("copy") + 1).alias("most_copies"))
     stock = per.groupBy("source").agg(F.sum("sum").alias("available"), F.sum("n").alias("documents"))
-    goal_df = spark.createDataFrame([(s, float(v), int(r)) for s, (v, r) in goals.items()], "source string, target_share double, max_repeats int")
+    dealt = {s: sum(q) for s, q in quota.items()}
+    goal_df = spark.createDataFrame([(s, float(v), int(r), dealt.get(s, 0)) for s, (v, r) in goals.items()], "source string, target_share double, max_repeats int, blocks long")
     report = goal_df.join(stock, "source", "left").join(mixed, "source", "left")
     # one row per target, at most MAX_SOURCES
     report = report.withColumn("whole", F.sum("mixed").over(Window.partitionBy(F.lit(1)))).select(
@@ -127,5 +177,6 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: i
         F.coalesce("mixed", F.lit(0)).alias("mixed_tokens"),
         F.round(F.coalesce(F.col("mixed") / F.col("whole"), F.lit(0.0)), 6).alias("share"),
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        "blocks",
     )
     return out, report

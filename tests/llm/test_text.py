@@ -111,6 +111,28 @@ def test_script_choice():
     assert confusable.Former().form("ｶﾞ") == "ガ"
 
 
+def test_public_look_alikes(spark):
+    f = confusable.Former(confusable.look_alike_letters(spark))
+    for a, b in (("αgent", "agent"), ("ɑɡent", "agent"), ("Ꭺgent", "Agent"), ("ⲟption", "option"), ("ⅰtem", "item"), ("Іtem", "Item"), ("ѕсоре", "scope")):
+        assert f.form(a) == f.form(b) == b
+    for a, b in (("ı", "i"), ("ſo", "fo"), ("l", "1"), ("O", "0"), ("I", "l"), ("aᵃ", "aa"), ("rn", "m"), ("エ", "工")):
+        assert f.form(a) != f.form(b)
+    for same in ("Ключ", "エージェント", "記憶する", "Αθήνα", "한국어", "naïve"):
+        assert f.form(same) == same
+    assert {"Jpan"} <= confusable.scripts("記") & confusable.scripts("す")
+    r = random.Random(5)
+    for t in [t for t in pq.read_table(f"{D}/documents.parquet")["text"].to_pylist() if t]:
+        assert f.form(f.form(t)) == f.form(t) == f.form(disguise(r, t))
+
+
+def test_pairs_of_frequent_texts_are_cut(spark):
+    words = ["a key", "a kеy", "а key", "а kеy", "a\u00a0key"]
+    data = [(i, words[i % 5 if i % 3 else 0]) for i in range(90)]
+    df = spark.createDataFrame(data, "doc_id int, text string")
+    want = sorted((i, j) for i, x in data for j, y in data if i < j and x != y)
+    assert [tuple(x) for x in confusable.look_alike_pairs(df, "doc_id", "text", group=3).orderBy("doc_id_a", "doc_id_b").collect()] == want
+
+
 def test_pairs_and_classes(spark):
     data = [(1, "a key", "x"), (2, "a key", "x"), (3, "a key", "x"), (4, "a kеy", None), (5, None, "x"), (6, "", "x"), (7, "…", "x"), (8, "…\u200b", "x"), (9, "other", "x"), (None, "a key", "x")]
     df = spark.createDataFrame(data, "doc_id int, text string, f string")
@@ -130,6 +152,38 @@ def test_sainte_lague():
     assert sum(split["a"]) == 2 and sum(split["b"]) == 8 and [a + b for a, b in zip(split["a"], split["b"])] == [3, 3, 2, 2]
 
 
+def test_seats_equal_dealing_one_by_one():
+    r = random.Random(8)
+    for _ in range(60):
+        names = [f"s{i}" for i in range(r.randrange(1, 9))]
+        shares = {s: r.choice([r.random(), r.random() / 500, 0.25]) for s in names}
+        room = {s: r.choice([r.randrange(0, 40), 10**9]) for s in names}
+        seats, won = r.randrange(0, 300), dict.fromkeys(names, 0)
+        for _ in range(seats):
+            open_ = [s for s in names if won[s] < room[s]]
+            if not open_:
+                break
+            won[min(open_, key=lambda s: (-shares[s] / (2 * won[s] + 1), s))] += 1
+        got = mixture.sainte_lague(shares, seats, 4, room)
+        assert {s: sum(q) for s, q in got.items()} == won
+
+
+def test_thousands_of_sources_get_their_blocks():
+    shares = {f"s{i}": 0.5 / 5000 for i in range(5000)} | {"big": 0.5}
+    got = mixture.sainte_lague(shares, 640_000, 16, dict.fromkeys(shares, 10**9))
+    assert sum(got["big"]) == 320_000 and {sum(q) for s, q in got.items() if s != "big"} == {64}
+
+
+def test_small_sources_are_mixed_and_reported(spark):
+    docs = [(i, "word " * 20, "big") for i in range(3000)] + [(9000 + i, "word " * 20, f"tiny{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id int, text string, source string")
+    t = spark.createDataFrame([("big", 0.9985, 1), ("tiny0", 0.0005, 1), ("tiny1", 0.0005, 1), ("tiny2", 0.0005, 1), ("gone", 0.1, 1)], "source string, target_share double, max_repeats int")
+    rep = {x["source"]: x for x in mixture.mixture(df, t)[1].collect()}
+    assert rep["gone"]["blocks"] == 0 and rep["gone"]["share"] == 0
+    for s in ("tiny0", "tiny1", "tiny2"):
+        assert rep[s]["blocks"] > 0 and rep[s]["mixed_tokens"] > 0 and abs(rep[s]["share"] - 0.0005) < 0.0004
+
+
 def test_mixture_keeps_shares_and_limits(spark):
     r = random.Random(6)
     docs = [(i, " ".join(["word"] * r.randrange(1, 30)), r.choice(["big", " BIG ", "big", "mid", "Small", "other", None]), 0) for i in range(6000)]
