@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..skew import HOT_ROWS, hot_bounds, with_slice
+from ..skew import HOT_ROWS, Hot, hint, hot_keys
 
 OPEN = (1 << 63) - 1
 NEVER = -(1 << 63) + 1
@@ -85,7 +85,8 @@ def _join_bucket(ev: pd.DataFrame, mem: pd.DataFrame) -> pd.DataFrame:
     where = pd.Series(np.arange(len(names)), index=names)
     events = pd.DataFrame({"event_id": ev["event_id"], "entity": ev["entity"].map(where), "ts": ev["ts"]})
     events = events[events["entity"].notna()].astype({"entity": "int64"})
-    con = duckdb.connect(config={"threads": "1", "memory_limit": "400MB"})
+    # a bucket is bounded, so nothing is spilled to a disk of the machine
+    con = duckdb.connect(config={"threads": "1", "memory_limit": "500MB", "temp_directory": ""})
     try:
         con.register("events", events)
         con.register("versions", versions)
@@ -96,37 +97,67 @@ def _join_bucket(ev: pd.DataFrame, mem: pd.DataFrame) -> pd.DataFrame:
         con.close()
 
 
+KEYS = ["tenant", "agent", "subject"]
+_MEMORY = ["memory_id", "valid_from", "recorded", "known", "until"]
+
+
+def _hot_sides(hot: Hot, ev: DataFrame, mem: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the hot entities, cut along time into slices.
+
+    Events, beginnings and ends of intervals are ranged together, so a slice
+    holds a bounded number of all three. It gets the intervals that begin or
+    end in it; of those that span it wholly only the best can win, and it is
+    found over a segment tree of the slices: an interval is listed at no more
+    than two nodes per level, and a slice looks at one node per level.
+    """
+    nulls = [F.lit(None).cast(t).alias(c) for c, t in mem.select(*_MEMORY).dtypes]
+    none = F.lit(None).cast(dict(ev.dtypes)["event_id"]).alias("event_id")
+    rows = ev.select(*KEYS, F.lit(0).alias("kind"), F.col("ts").alias("at"), "event_id", *nulls)
+    rows = rows.unionByName(mem.select(*KEYS, F.lit(1).alias("kind"), F.col("known").alias("at"), none, *_MEMORY))
+    rows = rows.unionByName(mem.filter(F.col("until") < OPEN).select(*KEYS, F.lit(2).alias("kind"), F.col("until").alias("at"), none, *_MEMORY))
+    cut = hot.ranged(hot.inside(rows), "at")
+    own = cut.groupBy(*KEYS).agg(F.min("_slice").alias("lo"), F.max("_slice").alias("hi"))
+    # repeated rows of one memory are one
+    iv = cut.filter("kind > 0").groupBy(*KEYS, *_MEMORY).agg(F.min(F.when(F.col("kind") == 1, F.col("_slice"))).alias("f"), F.min(F.when(F.col("kind") == 2, F.col("_slice"))).alias("t"))
+    iv = iv.join(hint(own.drop("lo"), hot.n_keys), KEYS).withColumn("t", F.coalesce("t", F.col("hi") + 1))
+    edge = iv.withColumn("_slice", F.explode(F.array_distinct(F.filter(F.array("f", "t"), lambda x: x <= F.col("hi"))))).select(*KEYS, *_MEMORY, "_slice")
+    levels = (hot.slices + 2).bit_length()
+    node = (
+        f"flatten(transform(sequence(0, {levels}), i -> transform(filter(array("
+        "named_struct('ix', shiftright(f + shiftleft(1, i), i), 'odd', shiftright(f + shiftleft(1, i), i) % 2 = 1),"
+        "named_struct('ix', shiftright(t, i) - 1, 'odd', shiftright(t, i) % 2 = 1)),"
+        "x -> x.odd and shiftright(f + shiftleft(1, i), i) < shiftright(t, i)), x -> named_struct('lv', i, 'ix', x.ix))))"
+    )
+    value = F.struct("valid_from", "recorded", "memory_id", "known", "until").alias("m")
+    best = iv.filter("t - f > 1").select(*KEYS, value, F.explode(F.expr(node)).alias("node")).groupBy(*KEYS, "node.lv", "node.ix").agg(F.max("m").alias("m"))
+    look = own.select(*KEYS, F.explode(F.sequence("lo", "hi")).alias("_slice")).withColumn("lv", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("ix", F.expr("shiftright(_slice, lv)"))
+    span = look.join(best, [*KEYS, "lv", "ix"]).groupBy(*KEYS, "_slice").agg(F.max("m").alias("m")).select(*KEYS, "m.*", "_slice")
+    return cut.filter("kind = 0").select("event_id", *KEYS, F.col("at").alias("ts"), "_slice"), edge.unionByName(span)
+
+
 def attributes_as_known(events: DataFrame, memories: DataFrame, rows_per_bucket: int = 50_000, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(event_id, memory_id) of ``events`` (event_id, k.., ts) and ``memories`` (memory_id, k.., valid_from, valid_to, recorded).
 
     Both have the key columns tenant, agent, subject and integer times. An
-    entity with more than ``hot_rows`` rows of both is cut along time: each slice gets
-    the intervals that begin or end in it, and of those that span it wholly
-    only the best, found by a map-side maximum.
+    entity with more than ``hot_rows`` rows of both is cut along time, so that
+    a bucket holds about ``rows_per_bucket`` rows, or one slice.
     """
-    keys = ["tenant", "agent", "subject"]
-    full = " and ".join(f"{k} is not null" for k in keys)
-    ev = events.filter(f"{full} and ts is not null").select("event_id", *keys, "ts")
+    full = " and ".join(f"{k} is not null" for k in KEYS)
+    ev = events.filter(f"{full} and ts is not null").select("event_id", *KEYS, "ts")
     mem = memories.filter(f"{full} and valid_from is not null and recorded is not null").select(
-        "memory_id", *keys, "valid_from", "recorded", F.greatest("valid_from", "recorded").alias("known"), F.coalesce("valid_to", F.lit(OPEN)).alias("until")
+        "memory_id", *KEYS, "valid_from", "recorded", F.greatest("valid_from", "recorded").alias("known"), F.coalesce("valid_to", F.lit(OPEN)).alias("until")
     )
     mem = mem.filter("until > known")
-    bounds = hot_bounds(ev.select(*keys, "ts").unionByName(mem.select(*keys, F.col("known").alias("ts"))), keys, "ts", hot_rows)
-    ev = with_slice(ev, keys, "ts", bounds)
-    if bounds is None:
-        mem = mem.withColumn("_slice", F.lit(0))
+    hot = hot_keys(ev.select(*KEYS).unionByName(mem.select(*KEYS)).unionByName(mem.filter(F.col("until") < OPEN).select(*KEYS)), KEYS, hot_rows)
+    if hot.table is None:
+        ev, mem = ev.withColumn("_slice", F.lit(0)), mem.withColumn("_slice", F.lit(0))
     else:
-        a = with_slice(mem, keys, "known", bounds).withColumnRenamed("_slice", "_from")
-        b = with_slice(a, keys, "until", bounds).withColumnRenamed("_slice", "_to")
-        edge = b.withColumn("_slice", F.explode(F.array_distinct(F.array("_from", "_to"))))
-        span = b.filter("_to - _from > 1").withColumn("_slice", F.explode(F.sequence(F.col("_from") + 1, F.col("_to") - 1)))
-        value = F.struct("valid_from", "recorded", "memory_id", "known", "until")
-        span = span.groupBy(*keys, "_slice").agg(F.max(value).alias("m")).select("m.*", *keys, "_slice")
-        mem = edge.drop("_from", "_to").unionByName(span)
-    entity = F.concat_ws("\u001f", *keys)
-    size = ev.count() + mem.count()
-    buckets = max(1, -(-size // rows_per_bucket), ev.sparkSession.sparkContext.defaultParallelism)
-    bucket = F.pmod(F.xxhash64(*keys, "_slice"), F.lit(buckets)).cast("int")
-    left = ev.select(bucket.alias("bucket"), "event_id", F.concat_ws("\u001f", entity, F.col("_slice").cast("string")).alias("entity"), "ts")
-    right = mem.select(bucket.alias("bucket"), "memory_id", F.concat_ws("\u001f", entity, F.col("_slice").cast("string")).alias("entity"), "valid_from", "recorded", "known", "until")
+        hot_ev, hot_mem = _hot_sides(hot, ev, mem)
+        ev = hot.outside(ev).withColumn("_slice", F.lit(0)).unionByName(hot_ev)
+        mem = hot.outside(mem).withColumn("_slice", F.lit(0)).unionByName(hot_mem)
+    buckets = max(1, -(-hot.total // rows_per_bucket), ev.sparkSession.sparkContext.defaultParallelism)
+    bucket = F.pmod(F.xxhash64(*KEYS, "_slice"), F.lit(buckets)).cast("int").alias("bucket")
+    entity = F.concat_ws("\u001f", *KEYS, F.col("_slice").cast("string")).alias("entity")
+    left = ev.select(bucket, "event_id", entity, "ts")
+    right = mem.select(bucket, "memory_id", entity, "valid_from", "recorded", "known", "until")
     return left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInPandas(_join_bucket, "event_id string, memory_id string")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..skew import HOT_ROWS, hot_bounds, with_slice
+from ..skew import HOT_ROWS, with_slices
 
 
 def _scan(gap_us: int, sliced: bool):
@@ -27,7 +27,7 @@ def _scan(gap_us: int, sliced: bool):
         open_key, start, end, n, types, first = None, 0, 0, 0, set(), True
 
         def row(last: bool):
-            edge = open_key[2] >= 0 and sliced and (first or last)
+            edge = open_key[2] > 0 and sliced and (first or last)
             return (open_key[0], open_key[1], start, end, n, len(types), edge, list(types) if edge else None)
 
         names = ["a", "b", "start_us", "end_us", "n_events", "n_types", "edge", "types"]
@@ -62,7 +62,7 @@ def _scan(gap_us: int, sliced: bool):
                 i = at[:whole]
                 if whole:
                     last = fresh[stop[:whole]]
-                    edge = sliced & (fresh[i] | last) & (sl[i] >= 0)
+                    edge = sliced & (fresh[i] | last) & (sl[i] > 0)
                     kinds = [None] * whole
                     for j in np.flatnonzero(edge):
                         kinds[j] = [values[c] for c in pcode[psid == j + 1]]
@@ -84,19 +84,15 @@ def sessionize(df: DataFrame, tenant: str, source: str, ts_us: str, kind: str, g
     A source with more than ``hot_rows`` rows is cut along time into slices that
     are scanned in different tasks; only the first and last session of a slice
     are joined afterwards, at most two rows per slice. ``count_from`` may give a
-    cheaper relation with columns a, b, ts to find hot sources in.
+    cheaper relation with columns a, b to count sources in.
     """
     ev = df.select(F.col(tenant).alias("a"), F.col(source).alias("b"), F.col(ts_us).alias("ts"), F.col(kind).alias("ty"))
     ev = ev.filter("a is not null and b is not null and ts is not null")
-    bounds = hot_bounds(ev if count_from is None else count_from, ["a", "b"], "ts", hot_rows)
-    ev = with_slice(ev, ["a", "b"], "ts", bounds)
-    if bounds is not None:
-        # slice -1 marks keys that aren't hot
-        ev = ev.join(F.broadcast(bounds.select(F.col("a").alias("_ha"), F.col("b").alias("_hb"))), (F.col("a") == F.col("_ha")) & (F.col("b") == F.col("_hb")), "left")
-        ev = ev.withColumn("_slice", F.when(F.col("_ha").isNull(), -1).otherwise(F.col("_slice"))).drop("_ha", "_hb")
+    # a burst at one time is cut too: edges of slices are joined by their times
+    ev, slices = with_slices(ev, ["a", "b"], "ts", hot_rows, count_from, (F.xxhash64("ty"), F.rand(7)))
     ordered = ev.repartition("a", "b", "_slice").sortWithinPartitions("a", "b", "_slice", "ts")
-    found = ordered.mapInPandas(_scan(gap_us, bounds is not None), "a string, b string, start_us long, end_us long, n_events long, n_types long, edge boolean, types array<string>")
-    if bounds is not None:
+    found = ordered.mapInPandas(_scan(gap_us, slices > 0), "a string, b string, start_us long, end_us long, n_events long, n_types long, edge boolean, types array<string>")
+    if slices:
         w = Window.partitionBy("a", "b").orderBy("start_us", "end_us")
         cut = found.filter("edge").withColumn("_p", F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1)))
         cut = cut.withColumn("_id", F.sum(F.when(F.col("_p").isNull() | (F.col("start_us") - F.col("_p") > gap_us), 1).otherwise(0)).over(w))

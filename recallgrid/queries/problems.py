@@ -60,9 +60,9 @@ def p2_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    m = standing_memories(load(spark, d, "memories"), tenant().alias("tenant_id"), "agent_id", subject_norm("subject").alias("subject"),
-                          micros("valid_from").alias("s"), micros("valid_to").alias("e"))
-    return periods_and_gaps(m, ["tenant_id", "agent_id", "subject"], "s", "e")
+    raw, key = load(spark, d, "memories"), [tenant().alias("tenant_id"), F.col("agent_id"), subject_norm("subject").alias("subject")]
+    m = standing_memories(raw, *key, micros("valid_from").alias("s"), micros("valid_to").alias("e"))
+    return periods_and_gaps(m, ["tenant_id", "agent_id", "subject"], "s", "e", count_from=raw.select(*key))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
     ep = load(spark, d, "episodic")
     kind = F.lower(F.trim(F.regexp_replace("event_type", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")))
     ev = standing_events(ep, tenant().alias("tenant"), "source", micros("ts").alias("us"), kind.alias("kind"))
-    raw = ep.filter("source is not null and ts is not null").select(tenant().alias("a"), F.col("source").alias("b"), micros("ts").alias("ts"))
+    raw = ep.filter("source is not null and ts is not null").select(tenant().alias("a"), F.col("source").alias("b"))
     return sessionize(ev, "tenant", "source", "us", "kind", PAUSE_US, count_from=raw)
 
 

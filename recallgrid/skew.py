@@ -1,60 +1,83 @@
-"""Splitting hot keys along an ordered column, so that no ordered group lands in one task."""
+"""Splitting hot keys along an ordered column, so that no ordered group lands in one task.
+
+A key is hot with more than ``limit`` rows, whatever the size of the data, so
+there are at most ``rows / limit`` of them. Their rows are range-partitioned by
+key and order; the partition is the slice. Nothing is collected: hot keys and
+slices are tables, which are broadcast only up to FEW rows and joined beyond.
+"""
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one key from which its group is cut into slices.
+from .session import Scratch
+
+#: Rows of one key from which its group is cut into slices, and the rows of a slice.
 HOT_ROWS = 500_000
-#: A key below this share of all rows is never hot, so at most as many keys can be.
-MAX_HOT_KEYS = 1000
+#: Rows of a table of hot keys or slices that is broadcast at most (some MB).
+FEW = 100_000
 
 
-def hot_bounds(df: DataFrame, keys: list[str], order: str, min_rows: int = HOT_ROWS) -> DataFrame | None:
-    """(keys, _bounds): slice boundaries of each hot key; None where no key is hot.
+def hint(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast where its counted rows are few."""
+    return F.broadcast(df) if rows <= FEW else df
 
-    A key is hot with more rows than ``max(min_rows, total / MAX_HOT_KEYS)``;
-    thus there are at most MAX_HOT_KEYS hot keys with at most 2 * MAX_HOT_KEYS
-    slices together, which bounds what is collected and broadcast here.
-    """
-    spark = df.sparkSession
+
+@dataclass
+class Hot:
+    """The hot keys of a relation: a written table of the keys as _h0, _h1, …; their number; rows; rows of all keys."""
+
+    keys: list[str]
+    table: DataFrame | None
+    n_keys: int
+    rows: int
+    total: int
+    limit: int
+
+    def _join(self, df: DataFrame, how: str) -> DataFrame:
+        on = [df[k].eqNullSafe(self.table[f"_h{i}"]) for i, k in enumerate(self.keys)]
+        return df.join(hint(self.table, self.n_keys), on, how)
+
+    def inside(self, df: DataFrame) -> DataFrame:
+        return self._join(df, "left_semi")
+
+    def outside(self, df: DataFrame) -> DataFrame:
+        return self._join(df, "left_anti")
+
+    @property
+    def slices(self) -> int:
+        """Twice as many as the rows need, since the bounds come from samples."""
+        return 2 * math.ceil(self.rows / self.limit)
+
+    def ranged(self, df: DataFrame, order: str, *ties: Column) -> DataFrame:
+        """Rows of hot keys with ``_slice`` from 1, growing with key and order; written, so that a row keeps its slice."""
+        out = df.repartitionByRange(self.slices, *self.keys, order, *ties).withColumn("_slice", F.spark_partition_id() + 1)
+        return Scratch(df.sparkSession, "slices").cut(out)
+
+
+def hot_keys(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> Hot:
+    """The keys with more than ``limit`` rows; counts are made map-side."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total, most = n.agg(F.sum("_n"), F.max("_n")).first()
-    if not total or most <= min_rows:
-        return None
-    limit = max(min_rows, total // MAX_HOT_KEYS)
-    hot = n.filter(F.col("_n") > limit)
-    rows = hot.collect()
-    if not rows:
-        return None
-    slices = {tuple(r[k] for k in keys): math.ceil(r["_n"] / limit) for r in rows}
-    most_slices = max(slices.values())
-    at = [i / (4 * most_slices) for i in range(1, 4 * most_slices)]
-    small = spark.createDataFrame([(*k,) for k in slices], df.select(*keys).schema)
-    cond = [df[k].eqNullSafe(small[k]) for k in keys]
-    grid = (
-        df.join(F.broadcast(small), cond, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx(order, F.array(*map(F.lit, at)), 10_000).alias("q"))
-        .collect()
-    )
-    out = []
-    for r in grid:
-        s, q = slices[tuple(r[k] for k in keys)], r["q"]
-        cut = sorted({q[min(len(q) - 1, round(i * len(q) / s))] for i in range(1, s)})
-        out.append((*[r[k] for k in keys], cut))
-    schema = df.select(*keys, F.array(F.col(order)).alias("_bounds")).schema
-    return spark.createDataFrame(out, schema)
-
-
-def with_slice(df: DataFrame, keys: list[str], order: str, bounds: DataFrame | None) -> DataFrame:
-    """df with ``_slice``: 0 for keys that aren't hot, else the number of boundaries not above ``order``."""
-    if bounds is None:
-        return df.withColumn("_slice", F.lit(0))
-    b = bounds.select(*[F.col(k).alias(f"_b{i}") for i, k in enumerate(keys)], "_bounds")
-    joined = df.join(F.broadcast(b), [F.col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)], "left")
-    n = F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda x: x <= F.col(order))))
-    return joined.withColumn("_slice", n).drop("_bounds", *[f"_b{i}" for i in range(len(keys))])
+    if not total or most <= limit:
+        return Hot(keys, None, 0, 0, total or 0, limit)
+    table = Scratch(df.sparkSession, "hot").cut(n.filter(F.col("_n") > limit).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], "_n"))
+    n_keys, rows = table.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    return Hot(keys, table.drop("_n"), n_keys, rows, total, limit)
+
+
+def with_slices(df: DataFrame, keys: list[str], order: str, limit: int = HOT_ROWS, count_from: DataFrame | None = None, ties: tuple[Column, ...] = ()) -> tuple[DataFrame, int]:
+    """(df with ``_slice``, number of slices): slice 0 for keys that aren't hot.
+
+    ``count_from`` may give a cheaper relation to count keys in. Rows of equal
+    key, order and ``ties`` share a slice. Where keys are hot, df is read twice.
+    """
+    hot = hot_keys(df if count_from is None else count_from, keys, limit)
+    if hot.table is None:
+        return df.withColumn("_slice", F.lit(0)), 0
+    cold = hot.outside(df).withColumn("_slice", F.lit(0))
+    return cold.unionByName(hot.ranged(hot.inside(df), order, *ties)), hot.slices + hot.n_keys

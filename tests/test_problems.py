@@ -15,6 +15,7 @@ from recallgrid.operators.joins import asof_join, range_join
 from recallgrid.operators.nested import child_table, parse, schema_graph, shred, table_elements, unwrap
 from recallgrid.operators.sessions import sessionize
 from recallgrid.session import Scratch
+from recallgrid.skew import hot_keys
 
 
 def rows(df):
@@ -62,6 +63,26 @@ def test_asof_and_range_join_helpers(spark):
     assert rows(range_join(left, ranges, ["k"], "t", "a", "b", 4).select("id", "a")) == [(1, 0), (2, 9)]
 
 
+def test_more_than_a_thousand_hot_keys(spark):
+    """The bound of a slice does not grow with the data or with the number of hot keys."""
+    e = spark.range(4400).select((F.col("id") % 1100).alias("agent"), F.col("id").alias("ts"))
+    hot = hot_keys(e, ["agent"], 3)
+    assert (hot.n_keys, hot.rows, hot.total) == (1100, 4400, 4400)
+    sliced = hot.ranged(hot.inside(e), "ts")
+    assert sliced.count() == 4400 and sliced.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 9
+
+
+def test_slices_change_no_result(spark):
+    r = random.Random(12)
+    ev = [(f"e{i}", "t", f"a{i % 30}", "s", r.randrange(0, 300)) for i in range(900)]
+    mem = [(f"m{i}", "t", f"a{i % 30}", "s", v, v + r.randrange(1, 150) if i % 3 else None, v + r.randrange(0, 20)) for i in range(400) for v in [r.randrange(0, 250)]]
+    e = spark.createDataFrame(ev, f"event_id string, {ENTITY}, ts long")
+    m = spark.createDataFrame(mem, f"memory_id string, {ENTITY}, valid_from long, valid_to long, recorded long")
+    assert rows(attributes_as_known(e, m, hot_rows=8)) == brute_asof(ev, mem)
+    right = m.select("agent", F.col("valid_from").alias("ts"), F.col("memory_id").alias("v"))
+    assert rows(asof_join(e, right, ["agent"], "ts", ["v"], hot_rows=8)) == rows(asof_join(e, right, ["agent"], "ts", ["v"]))
+
+
 # 2
 
 
