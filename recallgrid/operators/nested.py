@@ -3,14 +3,15 @@
 Method: the fields of all records form a schema graph whose nodes are element
 names. Elements that occur once below their parent are inlined into the
 parent's table; elements that are repeated (in arrays), shared (below several
-parents) or recursive get a table of their own, whose rows hold the path of the
-parent row as foreign key.
+parents) or recursive get a table of their own. A row's key is its path, its
+foreign key the path of the row it hangs below, whatever table that is in.
 
 Defined results: a record that isn't valid JSON, is null or is nested deeper
 than the parser allows has no fields; a string that holds a JSON object or
 array stands for that value; a single object in one of the listed fields is an
 array of one; nulls keep their position but give no row; of a repeated key the
-last value counts. Very long texts are kept whole.
+last value counts. Very long texts are kept whole. Any number of element names
+is handled (see ``table_elements``).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: Fields whose single object is an array of one (fixed values of the data model).
 ARRAY_FIELDS = ("steps", "calls", "results", "commits", "files", "hunks")
 TOP = "payload"
@@ -68,7 +71,10 @@ def _edges(array_fields: frozenset):
 
         for pdf in batches:
             for text in pdf["doc"]:
-                stack = [(TOP, unwrap(parse(text)))]
+                top = unwrap(parse(text))
+                if type(top) is list:
+                    seen["", TOP, "array"] = seen.get(("", TOP, "array"), 0) + 1
+                stack = [(TOP, top)]
                 while stack:
                     name, v = stack.pop()
                     if type(v) is dict:
@@ -97,63 +103,119 @@ def schema_graph(df: DataFrame, doc: str, array_fields=ARRAY_FIELDS) -> DataFram
     return part.groupBy("parent", "child", "kind").agg(F.sum("n").alias("n"))
 
 
-def table_elements(graph: DataFrame, limit: int = 10_000) -> dict[str, str]:
-    """Element name -> why it has a table: repeated, shared or recursive.
+#: Composite edges of the schema graph that the driver reads at most (a few MB); larger graphs are reduced by joins.
+MANY_EDGES = 100_000
+#: In a table map: every element of an array has a table, whatever its name.
+ANY = "*"
 
-    Only object or array elements are read; their names come from the schema,
-    and more than ``limit`` of them are refused.
-    """
-    rows = graph.filter("kind <> 'scalar'").select("parent", "child", "kind").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"the schema graph has more than {limit} composite elements")
-    parents: dict[str, set] = {}
-    below: dict[str, set] = {}
-    why: dict[str, str] = {}
-    for r in rows:
-        parents.setdefault(r["child"], set()).add(r["parent"])
-        below.setdefault(r["parent"], set()).add(r["child"])
-        if r["kind"] == "array":
-            why[r["child"]] = "repeated"
-    for name, up in parents.items():
-        reach, todo = set(), [name]
+
+def _loops(edges: list[tuple[str, str]]) -> set[str]:
+    """Elements that reach themselves: those of a strongly connected component with an inner edge."""
+    below: dict[str, list[str]] = {}
+    for p, c in edges:
+        below.setdefault(p, []).append(c)
+    order, low, open_, stack, out = {}, {}, set(), [], set()
+    for root in below:
+        todo = [(root, iter(below[root]))] if root not in order else []
         while todo:
-            for c in below.get(todo.pop(), ()):
-                if c not in reach:
-                    reach.add(c)
-                    todo.append(c)
-        if name in reach:
-            why.setdefault(name, "recursive")
-        elif len(up) > 1:
-            why.setdefault(name, "shared")
-    return why
+            v, kids = todo[-1]
+            if v not in order:
+                order[v] = low[v] = len(order)
+                stack.append(v)
+                open_.add(v)
+            for w in kids:
+                if w not in order:
+                    todo.append((w, iter(below.get(w, ()))))
+                    break
+                if w in open_:
+                    low[v] = min(low[v], order[w])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                    open_.difference_update(part)
+                    if len(part) > 1 or v in below.get(v, ()):
+                        out.update(part)
+    return out
+
+
+def _loops_joined(comp: DataFrame) -> DataFrame:
+    """(element): the same by joins, for graphs of any size.
+
+    Elements without a parent or a child left are peeled off round by round;
+    what remains is followed by doubling joins.
+    """
+    scratch = Scratch(comp.sparkSession, "schema")
+    left = scratch.cut(comp.select("parent", "child").distinct())
+    n, before = left.count(), None
+    while n and n != before:
+        has_parent, has_child = left.select(F.col("child").alias("parent")).distinct(), left.select(F.col("parent").alias("child")).distinct()
+        left = scratch.cut(left.join(has_parent, "parent", "left_semi").join(has_child, "child", "left_semi").select("parent", "child"))
+        n, before = left.count(), n
+    reach, before = left, None
+    while n and n != before:
+        longer = reach.select("parent", F.col("child").alias("x")).join(reach.select(F.col("parent").alias("x"), "child"), "x").select("parent", "child")
+        reach = scratch.cut(reach.union(longer).distinct())
+        n, before = reach.count(), n
+    return reach.filter("parent = child").select(F.col("child").alias("element")).distinct()
+
+
+def element_kinds(graph: DataFrame, many_edges: int = MANY_EDGES) -> DataFrame:
+    """(element, kind): the elements with a table of their own: repeated, recursive or shared."""
+    comp = graph.filter("kind <> 'scalar'")
+    rows = comp.select("parent", "child").distinct().limit(many_edges + 1).collect()
+    if len(rows) > many_edges:
+        loops = _loops_joined(comp)
+    else:
+        loops = graph.sparkSession.createDataFrame([(x,) for x in sorted(_loops([(r[0], r[1]) for r in rows]))], "element string")
+    by = comp.groupBy(F.col("child").alias("element")).agg(F.max(F.col("kind") == "array").alias("many"), F.countDistinct("parent").alias("parents"))
+    kind = F.when(F.col("many"), "repeated").when(F.col("loop"), "recursive").when(F.col("parents") > 1, "shared")
+    return by.join(loops.withColumn("loop", F.lit(True)), "element", "left").select("element", kind.alias("kind")).filter("kind is not null")
+
+
+def table_elements(graph: DataFrame, many_edges: int = MANY_EDGES) -> dict[str, str]:
+    """Element name -> why it has a table.
+
+    Of more than ``many_edges`` names (data used as keys) none is left out of
+    the results, but the map can't be sent: then arrays give rows whatever
+    their name, and single objects are inlined.
+    """
+    rows = element_kinds(graph, many_edges).limit(many_edges + 1).collect()
+    return {r["element"]: r["kind"] for r in rows} if len(rows) <= many_edges else {ANY: "repeated"}
 
 
 def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool, lists: tuple[str, ...]):
+    every = ANY in tables
+    single = {k: v for k, v in tables.items() if v != "repeated"}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list] = {c: [] for c in ("record_id", "element", "kind", "node_path", "parent_path", "columns")}
-            rid, element, kind, node, parent, cols = out.values()
+            out: dict[str, list] = {c: [] for c in ("record_id", "element", "kind", "node_path", "parent_path", "array_path", "columns")}
+            rid, element, kind, node, parent, array, cols = out.values()
 
-            def add(i, name, why, path, up, own):
-                rid.append(i), element.append(name), kind.append(why), node.append(path), parent.append(up), cols.append(own)
+            def add(i, name, why, path, up, near, own):
+                rid.append(i), element.append(name), kind.append(why), node.append(path), parent.append(up), array.append(near), cols.append(own)
 
             for at, name in enumerate(lists):
                 for i, items in zip(pdf["id"], pdf[f"list{at}"]):
                     if items is not None and len(items):
                         for n, x in enumerate(items):
                             if x is not None:
-                                add(i, name, "value", f"{name}/{n}", "", {"value": str(x)})
+                                add(i, name, "value", f"{name}/{n}", "", "", {"value": str(x)})
             for i, text in zip(pdf["id"], pdf["doc"]):
                 v = unwrap(parse(text))
                 if type(v) is not dict and type(v) is not list:
                     continue
-                own: dict | None = {} if columns else None
-                # (value, path, name, element above, row above, column prefix, the row's columns)
-                stack = [(v, "", TOP, "", own, "")]
-                if columns:
-                    add(i, TOP, "top", "", None, own)
+                top: dict = {}
+                # (value, path, name, path of the row above, of the array element above, where its scalars go: rows with prefixes)
+                stack = [(v, "", TOP, "", "", ((top, ""),))]
+                add(i, TOP, "top", "", None, "", top)
                 while stack:
-                    v, path, name, up, own, prefix = stack.pop()
+                    v, path, name, up, near, into = stack.pop()
                     if type(v) is dict:
                         for k, x in v.items():
                             x = unwrap(x)
@@ -161,30 +223,35 @@ def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool, lists
                             p = f"{path}/{k}" if path else k
                             if t is dict:
                                 if k in array_fields:
-                                    stack.append(([x], p, k, up, own, ""))
-                                elif columns and k in tables:
-                                    row: dict | None = {}
-                                    add(i, k, tables[k], p, up, row)
-                                    stack.append((x, p, k, up, row, ""))
+                                    stack.append(([x], p, k, up, near, into))
+                                elif k in single:
+                                    row: dict = {}
+                                    add(i, k, single[k], p, up, near, row)
+                                    # a shared object has its own row, and its fields stand in the row above too
+                                    also = tuple((r, f"{pre}{k}.") for r, pre in into) if single[k] == "shared" else ()
+                                    stack.append((x, p, k, p, near, ((row, ""), *also)))
                                 else:
-                                    stack.append((x, p, k, up, own, f"{prefix}{k}."))
+                                    stack.append((x, p, k, up, near, tuple((r, f"{pre}{k}.") for r, pre in into)))
                             elif t is list:
-                                stack.append((x, p, k, up, own, ""))
+                                stack.append((x, p, k, up, near, into))
                             elif columns:
-                                own[prefix + k] = None if x is None else x if t is str else json.dumps(x)
+                                s = None if x is None else x if t is str else json.dumps(x)
+                                for r, pre in into:
+                                    r[pre + k] = s
                     else:
                         for at, x in enumerate(v):
                             x = unwrap(x)
                             t = type(x)
                             p = f"{path}/{at}" if path else str(at)
                             if t is dict:
-                                row = {} if columns else None
-                                add(i, name, "repeated", p, up, row)
-                                stack.append((x, p, name, p, row, ""))
+                                if every or name in tables:
+                                    row = {}
+                                    add(i, name, "repeated", p, up, near, row)
+                                    stack.append((x, p, name, p, p, ((row, ""),)))
                             elif t is list:
-                                stack.append((x, p, name, up, own, ""))
+                                stack.append((x, p, name, up, near, into))
                             elif columns and x is not None:
-                                add(i, name, "value", p, up, {"value": x if t is str else json.dumps(x)})
+                                add(i, name, "value", p, up, near, {"value": x if t is str else json.dumps(x)})
             if rid:
                 yield pd.DataFrame(out if columns else {k: v for k, v in out.items() if k != "columns"})
 
@@ -192,16 +259,18 @@ def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool, lists
 
 
 def shred(df: DataFrame, record_id: str, doc: str, tables: dict[str, str], array_fields=ARRAY_FIELDS, columns: bool = True, lists: tuple[str, ...] = ()) -> DataFrame:
-    """(record_id, element, kind, node_path, parent_path[, columns]), one row per row of a child table.
-
-    kind is repeated (an object in an array; its path is the key, the nearest
-    enclosing such object's path, or '', the foreign key), shared or recursive
-    (a single object with a table of its own), value (a scalar in an array) or
-    top. ``columns`` holds the inlined fields by dotted name; without it only
-    repeated objects are given. ``lists`` names list columns whose non-null
-    items become rows of kind value, with path name/position.
+    """(record_id, element, kind, node_path, parent_path, array_path[, columns]), one row per row of a table.
+
+    kind is repeated (an object in an array), shared or recursive (a single
+    object with a table of its own), value (a scalar in an array) or top (the
+    record itself). ``node_path`` is the key, ``parent_path`` the key of the
+    row above, of any table (null for the top row); ``array_path`` is that of
+    the nearest object in an array above, or ''. ``columns`` holds the inlined
+    fields by dotted name; without it no scalars are read. ``lists`` names list
+    columns whose non-null items become rows of kind value, with path
+    name/position.
     """
-    schema = "record_id string, element string, kind string, node_path string, parent_path string" + ", columns map<string,string>" * columns
+    schema = "record_id string, element string, kind string, node_path string, parent_path string, array_path string" + ", columns map<string,string>" * columns
     src = df.select(F.col(record_id).cast("string").alias("id"), F.col(doc).alias("doc"), *[F.col(c).alias(f"list{i}") for i, c in enumerate(lists)])
     if not lists:
         src = src.filter("doc is not null")
@@ -210,7 +279,7 @@ def shred(df: DataFrame, record_id: str, doc: str, tables: dict[str, str], array
 
 def child_table(shredded: DataFrame, element: str, columns: list[str]) -> DataFrame:
     """The flat table of one element, with the named columns."""
-    rows = shredded.filter((F.col("element") == element) & F.col("kind").isin("repeated", "shared", "recursive"))
+    rows = shredded.filter((F.col("element") == element) & F.col("kind").isin("top", "repeated", "shared", "recursive"))
     return rows.select("record_id", "node_path", "parent_path", *[F.col("columns")[c].alias(c.replace(".", "_")) for c in columns])
 
 

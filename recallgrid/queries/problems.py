@@ -10,7 +10,7 @@ from ..operators.asof import attributes_as_known
 from ..operators.changefeed import current_state
 from ..operators.hierarchy import descendants, resolve_tree
 from ..operators.intervals import periods_and_gaps
-from ..operators.nested import array_items, child_table, schema_graph, shred, table_elements
+from ..operators.nested import array_items, child_table, element_kinds, schema_graph, shred, table_elements
 from ..operators.sessions import sessionize
 from ..session import Scratch, load
 
@@ -34,10 +34,11 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated rows of all tables that shared inlining gives, and the tags."""
     ev = _records(spark, d)
     tables = table_elements(schema_graph(load(spark, d, "episodic"), "payload"))
-    rows = shred(ev, "id", "payload", tables, columns=False, lists=("tags",))
-    return rows.select(F.col("record_id").alias("event_id"), "node_path", "parent_path")
+    rows = shred(ev, "id", "payload", tables, columns=False, lists=("tags",)).filter("kind = 'repeated' or kind = 'value'")
+    return rows.select(F.col("record_id").alias("event_id"), "node_path", F.col("array_path").alias("parent_path"))
 
 
 def p2_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -46,15 +47,54 @@ def p2_tags(spark: SparkSession, d: str) -> DataFrame:
     return array_items(ev, "id", "tags", "tags").select(F.col("record_id").alias("event_id"), "node_path", F.col("value").alias("tag"))
 
 
+_SHREDDED: dict[tuple, DataFrame] = {}
+
+
+def _tables(spark: SparkSession, d: str) -> DataFrame:
+    """All tables of the payloads, shredded once per session and state of the file, written by element."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/episodic.parquet")
+    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, d, at.getModificationTime(), at.getLen())
+    if key not in _SHREDDED:
+        tables = table_elements(schema_graph(load(spark, d, "episodic"), "payload"))
+        out = shred(_records(spark, d), "id", "payload", tables)
+        _SHREDDED[key] = Scratch(spark, "tables").cut(out, partition_by=["kind", "element"])
+    return _SHREDDED[key]
+
+
 def _child(element: str, columns: list[str]):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        ev = _records(spark, d)
-        tables = table_elements(schema_graph(load(spark, d, "episodic"), "payload"))
-        return child_table(shred(ev, "id", "payload", tables), element, columns).withColumnRenamed("record_id", "event_id")
+        rows = child_table(_tables(spark, d).filter("kind = 'repeated'"), element, columns)
+        return rows.withColumnRenamed("record_id", "event_id")
 
     return query
 
 
+def p2_top(spark: SparkSession, d: str) -> DataFrame:
+    """The parent table: one row per record, with the inlined fields as JSON in order of their names."""
+    top = _tables(spark, d).filter("kind = 'top'")
+    fields = F.array_sort(F.map_entries("columns"))
+    return top.select(F.col("record_id").alias("event_id"), F.to_json(F.map_from_entries(fields), {"ignoreNullFields": "false"}).alias("fields"))
+
+
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Scalars in arrays of the payloads."""
+    v = _tables(spark, d).filter("kind = 'value'")
+    return v.select(F.col("record_id").alias("event_id"), "element", "node_path", "parent_path", F.col("columns")["value"].alias("value"))
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """How the tables hang together: how many rows of an element hang below rows of which."""
+    t = _tables(spark, d).filter("kind <> 'value'").select("record_id", "element", "kind", "node_path", "parent_path")
+    up = t.select("record_id", F.col("node_path").alias("parent_path"), F.col("element").alias("above"))
+    return t.filter("parent_path is not null").join(up, ["record_id", "parent_path"], "left").groupBy("element", "kind", "above").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p2_elements(spark: SparkSession, d: str) -> DataFrame:
+    """The elements with a table, and why."""
+    return element_kinds(schema_graph(load(spark, d, "episodic"), "payload"))
+
+
 def p2_schema(spark: SparkSession, d: str) -> DataFrame:
     return schema_graph(load(spark, d, "episodic"), "payload")
 
@@ -122,6 +162,10 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_schema": p2_schema,
     "p2_tags": p2_tags,
+    "p2_top": p2_top,
+    "p2_values": p2_values,
+    "p2_links": p2_links,
+    "p2_elements": p2_elements,
     "p2_steps": _child("steps", ["tool", "ms", "note"]),
     "p2_calls": _child("calls", ["call_id", "args.q", "args.limit", "error.code", "error.detail"]),
     "p2_results": _child("results", ["ref", "score", "labels.lang"]),

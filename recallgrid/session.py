@@ -92,10 +92,10 @@ class Scratch:
             atexit.register(Scratch._sweep)
         Scratch._live.append(self)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

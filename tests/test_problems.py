@@ -12,7 +12,7 @@ from recallgrid.operators.changefeed import EqualityDeleteTable, current_state
 from recallgrid.operators.hierarchy import descendants, resolve_tree
 from recallgrid.operators.intervals import periods_and_gaps
 from recallgrid.operators.joins import asof_join, range_join
-from recallgrid.operators.nested import child_table, parse, schema_graph, shred, table_elements, unwrap
+from recallgrid.operators.nested import child_table, element_kinds, parse, schema_graph, shred, table_elements, unwrap
 from recallgrid.operators.sessions import sessionize
 from recallgrid.session import Scratch
 from recallgrid.skew import hot_keys
@@ -134,17 +134,45 @@ def test_shared_inlining(spark):
     assert tables["steps"] == "repeated" and tables["a"] == "recursive"
     want = sorted((x for i, t in texts for x in brute_nested(i, t)), key=repr)
     bare = shred(df, "id", "payload", tables, columns=False)
-    assert rows(bare.select("record_id", "node_path", "parent_path")) == want
+    assert rows(bare.filter("kind = 'repeated'").select("record_id", "node_path", "array_path")) == want
     full = shred(df, "id", "payload", tables)
-    assert rows(full.filter("kind = 'repeated'").select("record_id", "node_path", "parent_path")) == want
+    assert rows(full.filter("kind = 'repeated'").select("record_id", "node_path", "array_path")) == want
+    # every foreign key names a row
+    keys = {(x["record_id"], x["node_path"]) for x in full.collect() if x["kind"] != "value"}
+    assert all((x["record_id"], x["parent_path"]) in keys for x in full.collect() if x["kind"] != "top")
+    a = {x["node_path"]: (x["kind"], x["parent_path"], x["columns"]) for x in full.filter("record_id = 'e4'").collect()}
+    assert a["a"][:2] == ("recursive", "") and a["a/b"][:2] == ("recursive", "a") and a["a/b/a"] == ("recursive", "a/b", {"b": "1"})
     calls = child_table(full, "calls", ["call_id", "args.q"])
     assert rows(calls) == [("e0", "steps/0/calls/0", "steps/0", "1", "x"), ("e0", "steps/2/calls/0", "steps/2", "2", None)]
     assert rows(shred(df.limit(0), "id", "payload", {})) == []
     tags = spark.createDataFrame([("a", None, ["x", None, "x"]), ("b", '{"steps": {}}', None), ("c", "{", [])], "id string, payload string, tags array<string>")
-    got = rows(shred(tags, "id", "payload", tables, columns=False, lists=("tags",)).select("record_id", "node_path", "parent_path"))
+    got = rows(shred(tags, "id", "payload", tables, columns=False, lists=("tags",)).filter("kind <> 'top'").select("record_id", "node_path", "parent_path"))
     assert got == [("a", "tags/0", ""), ("a", "tags/2", ""), ("b", "steps/0", "")]
 
 
+def test_shared_elements_have_a_row_and_stay_inlined(spark):
+    docs = [("x", json.dumps({"p": {"args": {"q": "1"}}, "calls": [{"args": {"q": "2", "deep": {"z": True}}}]}))]
+    df = spark.createDataFrame(docs, "id string, payload string")
+    tables = table_elements(schema_graph(df, "payload"))
+    assert tables == {"args": "shared", "calls": "repeated"}
+    full = shred(df, "id", "payload", tables)
+    assert rows(child_table(full, "args", ["q", "deep.z"])) == [("x", "calls/0/args", "calls/0", "2", "true"), ("x", "p/args", "", "1", None)]
+    assert rows(child_table(full, "calls", ["args.q", "args.deep.z"])) == [("x", "calls/0", "", "2", "true")]
+    assert rows(child_table(full, "payload", ["p.args.q"])) == [("x", "", None, "1")]
+
+
+@pytest.mark.parametrize("many", [100_000, 10])
+def test_very_many_names(spark, many):
+    """Data used as keys: 20,000 element names, with loops; rows are the same however the graph is reduced."""
+    docs = [(f"d{i}", json.dumps({f"k{i}_{j}": {"items": [{"v": j}]} for j in range(100)} | {"loop": {"x": {"y": {"x": {}}}}})) for i in range(200)]
+    df = spark.createDataFrame(docs, "id string, payload string")
+    graph = schema_graph(df, "payload")
+    kinds = {x["element"]: x["kind"] for x in element_kinds(graph, many).collect()}
+    assert kinds == {"items": "repeated", "x": "recursive", "y": "recursive"}
+    got = shred(df, "id", "payload", table_elements(graph, many), columns=False).filter("kind = 'repeated'")
+    assert got.count() == 20_000
+
+
 # 3
 
 
