@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import decayed
+from .vectors import knn
 
 SCOPE = ["tenant_id", "user_id", "agent_id", "session_id"]
 
@@ -163,6 +164,90 @@ def merge_fold(rows: DataFrame, scope: str, order: str, vector: str, threshold:
     return out.select(F.col("scope").alias(scope), F.col("o").alias(order), "outcome", "merged_into")
 
 
+def plan_similar_adds(actives: DataFrame, inputs: DataFrame, now: Column, threshold: float = 0.92, vector: str = "embedding") -> DataFrame:
+    """Changed rows for a batch of adds without subject, merged by likeness: those of a memory, its vector, and ``outcome``.
+
+    An input whose nearest active of its scope (cosine, ties by id) is at or
+    above the threshold is Merged: the active is Closed, and the new row takes
+    its subject, the union of both source ids, the larger importance and points
+    back to it. Of several inputs nearest to one active the nearest (then the
+    smallest id) merges; the others, and those near none, are Inserted. A null
+    vector is near nothing. Adds that build on one another go through
+    ``merge_fold`` in order.
+    """
+    cols = actives.columns
+    near = knn(
+        actives.filter("state = 'active'").select("id", vector, _scope_text().alias("_scope")), inputs.select(F.col("id").alias("query_id"), vector, _scope_text().alias("_scope")), 1, vector=vector, scope="_scope"
+    ).filter(F.col("score") >= threshold)
+    w = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("query_id"))
+    pair = near.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(F.col("query_id").alias("_new"), F.col("id").alias("_old"))
+    old = actives.join(pair, F.col("id") == F.col("_old"))
+    closed = old.withColumns({"state": F.lit("superseded"), "valid_to": now, "updated_at": now}).select(*cols, F.lit("Closed").alias("outcome"))
+    kept = old.select("_new", "_old", F.struct("subject", "importance", "source_event_ids").alias("o"))
+    new = inputs.join(kept, F.col("id") == F.col("_new"), "left")
+    none = F.array().cast("array<string>")
+    own = F.coalesce("source_event_ids", none)
+    made = {
+        "subject": F.coalesce("subject", "o.subject"), "importance": F.greatest(F.coalesce("importance", F.lit(0.5)), F.col("o.importance")),
+        "source_event_ids": F.array_distinct(F.concat(F.coalesce("o.source_event_ids", none), own)), "valid_from": now, "valid_to": F.lit(None), "state": F.lit("active"), "supersedes": F.col("_old"),
+        "version": F.lit(1), "created_at": now, "updated_at": now, "mem_type": F.coalesce("mem_type", F.lit("semantic")),
+    }
+    kinds = dict(actives.dtypes)
+    fresh = new.select(*[made.get(c, F.col(c) if c in inputs.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in cols], F.when(F.col("_old").isNull(), "Inserted").otherwise("Merged").alias("outcome"))
+    return closed.unionByName(fresh)
+
+
+def _scope_text() -> Column:
+    """A scope as one text, nulls apart from empty texts."""
+    return F.to_json(F.struct(*SCOPE), {"ignoreNullFields": "false"})
+
+
+def consolidate_similar(mem: DataFrame, clusters: DataFrame, now: Column) -> DataFrame:
+    """Changed rows that replace each cluster (id, cluster) of active memories by its summary.
+
+    The summary is a new memory with the id ``sum-<cluster>``, of the scope of
+    the cluster's leader; its members expire.
+    """
+    act = mem.filter("state = 'active'").join(clusters.select("id", F.col("cluster").alias("_c")), "id")
+    gone = act.withColumns({"state": F.lit("expired"), "valid_to": now, "updated_at": now}).select(*mem.columns)
+    lead = act.filter("id = _c").select("_c", *SCOPE)
+    made = summarize(act, ["_c"], "importance").join(lead, "_c")
+    kinds = dict(mem.dtypes)
+    value = {
+        "id": F.concat(F.lit("sum-"), F.col("_c")), **{c: F.col(c) for c in (*SCOPE, "content", "importance", "source_event_ids")}, "state": F.lit("active"), "version": F.lit(1), "mem_type": F.lit("semantic"),
+        "valid_from": now, "created_at": now, "updated_at": now,
+    }
+    return gone.unionByName(made.select(*[value.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in mem.columns]))
+
+
+def touch(mem: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """mem with the named active rows (id) marked as used now."""
+    j = mem.join(ids.select("id").distinct().withColumn("_t", F.lit(True)), "id", "left")
+    return j.withColumn("updated_at", F.when(F.col("_t") & (F.col("state") == "active"), now).otherwise(F.col("updated_at"))).select(*mem.columns)
+
+
+def supersede(mem: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
+    """mem with each active ``old`` of pairs (old, new) closed, and ``new`` pointing back to it."""
+    j = mem.join(pairs.select(F.col("old").alias("id"), F.lit(True).alias("_o")).distinct(), "id", "left")
+    j = j.join(pairs.groupBy(F.col("new").alias("id")).agg(F.min("old").alias("_n")), "id", "left")
+    hit = F.coalesce("_o", F.lit(False)) & (F.col("state") == "active")
+    return j.withColumns(
+        {"state": F.when(hit, "superseded").otherwise(F.col("state")), "valid_to": F.when(hit, now).otherwise(F.col("valid_to")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at")), "supersedes": F.coalesce("_n", "supersedes")}
+    ).select(*mem.columns)
+
+
+def facts_to_adds(facts: DataFrame) -> DataFrame:
+    """Inputs for ``plan_subject_adds`` of rows (id, scope columns, facts: array<struct<subject, content>>).
+
+    Ids are ``<id>-<place>``; of several facts of one scope and subject the last of the largest id stands.
+    """
+    f = facts.select("id", *SCOPE, F.posexplode("facts").alias("_p", "f"))
+    f = f.select(F.concat("id", F.lit("-"), F.col("_p").cast("string")).alias("id"), *SCOPE, F.lower(F.trim(F.regexp_replace("f.subject", r"[\s\p{Z}]+", " "))).alias("subject"), F.col("f.content").alias("content"), "_p", F.col("id").alias("_o"))
+    w = Window.partitionBy(*SCOPE, "subject").orderBy(F.desc("_o"), F.desc("_p"))
+    one = f.withColumn("_r", F.row_number().over(w)).filter("_r = 1 or subject is null")
+    return one.select("id", *SCOPE, "subject", "content", F.lit(None).cast("double").alias("importance"), F.array().cast("array<string>").alias("source_event_ids"), F.lit(None).cast("string").alias("metadata"), F.lit(None).cast("string").alias("mem_type"))
+
+
 def contradictions(mem: DataFrame) -> DataFrame:
     """Members of subjects with more than one active memory in a scope: (scope, subject, n, id, content).
 
@@ -294,6 +379,23 @@ def provenance(mem: DataFrame, events: DataFrame) -> DataFrame:
     return ids.join(e, ["event_id", "tenant_id"]).select("id", "event_id", "event_source", "event_type", "event_ts")
 
 
+def add_grants(grants: DataFrame, new: DataFrame) -> DataFrame:
+    """grants (tenant_id, grantor_user, grantee_user) with new ones, each once; nobody grants to themselves."""
+    cols = ["tenant_id", "grantor_user", "grantee_user"]
+    return grants.select(*cols).unionByName(new.select(*cols)).filter("not grantor_user <=> grantee_user").distinct()
+
+
+def revoke_grants(grants: DataFrame, gone: DataFrame) -> DataFrame:
+    cols = ["tenant_id", "grantor_user", "grantee_user"]
+    return grants.join(gone.select(*cols).distinct(), cols, "left_anti")
+
+
+def list_grants(grants: DataFrame, tenant: str, grantor: str | None = None) -> DataFrame:
+    """A tenant's grants, of one grantor if given, in order."""
+    out = grants.filter(F.col("tenant_id") == tenant)
+    return (out if grantor is None else out.filter(F.col("grantor_user") == grantor)).orderBy("grantor_user", "grantee_user")
+
+
 def shared_scopes(grants: DataFrame, tenant: str, user: str) -> DataFrame:
     """(tenant_id, user_id) whose memories a user may search: their own and those of their grantors."""
     own = grants.sparkSession.createDataFrame([(tenant, user)], "tenant_id string, user_id string")

@@ -183,6 +183,19 @@ def communities(edges: DataFrame) -> DataFrame:
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("community")), "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
+def edges_on_add(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """The edge table after a batch of adds: edges of the new rows' sentences come in, those of closed rows are closed.
+
+    ``changed`` are planned rows with ``outcome``; confirmed rows change nothing.
+    """
+    fresh = edges_from_memories(changed.filter("outcome <> 'Closed' and outcome <> 'Confirmed'"))
+    gone = changed.filter("outcome = 'Closed'").select(F.col("id").alias("source_memory_id"), F.col("valid_to").alias("_end")).distinct()
+    old = edges.join(gone, "source_memory_id", "left")
+    hit = F.col("_end").isNotNull() & (F.col("state") == "active")
+    old = old.withColumns({"valid_to": F.when(hit, F.col("_end")).otherwise(F.col("valid_to")), "state": F.when(hit, "superseded").otherwise(F.col("state"))}).select(*edges.columns)
+    return add_edges(old, fresh)
+
+
 def edges_from_memories(mem: DataFrame) -> DataFrame:
     """Edges of the simple sentences in active memories: the same text gives the same ids."""
     t = mem.filter("state = 'active'").select("id", "tenant_id", "valid_from", F.explode(triples("content")).alias("t"))

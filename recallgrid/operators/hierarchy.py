@@ -40,6 +40,9 @@ def _wide_levels(frontier: DataFrame, links: DataFrame, levels: int) -> DataFram
 
 def _thin_levels(frontier: DataFrame, links: DataFrame, levels: int) -> DataFrame:
     """The same with the links broadcast: each step turns a frontier row into itself and its children, in one stage."""
+    # a link each, so a node with very many children is no single row
+    parents = links.select(F.col("t").alias("_t"), F.col("parent").alias("_p")).distinct()
+    frontier = frontier.join(F.broadcast(parents), (F.col("t") == F.col("_t")) & (F.col("id") == F.col("_p")), "left_semi")
     below = links.groupBy(F.col("t").alias("_t"), F.col("parent").alias("_p")).agg(F.collect_list(F.struct("id", "named")).alias("_c"))
     # one text, since each DataFrame call would analyse the growing plan again
     sql = "select t, root, id, named, depth, path, 0 as step from {frontier}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +43,31 @@ def end_sessions(sessions: DataFrame, ends: DataFrame, now: Column) -> DataFrame
     return j.withColumns({"ended_at": F.when(F.col("_e"), now).otherwise(F.col("ended_at")), "summary": F.coalesce("_s", "summary")}).drop("_s", "_e")
 
 
+def create_runs(runs: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """runs with new pending ones (id, tenant_id, agent_id, parent_run_id, input) added; an id that is there stays as it is."""
+    kinds = dict(runs.dtypes)
+    made = {**{c: F.col(c) for c in ("id", "tenant_id", "agent_id", "parent_run_id", "input")}, "status": F.lit("pending"), "created_at": now, "updated_at": now}
+    rows = new.dropDuplicates(["id"]).join(runs.select("id"), "id", "left_anti")
+    return runs.unionByName(rows.select(*[made.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in runs.columns]))
+
+
+def list_runs(runs: DataFrame, tenant: str, agent: str | None = None, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """A tenant's runs, newest first."""
+    out = runs.filter(F.coalesce("tenant_id", F.lit("default")) == tenant)
+    for c, v in (("agent_id", agent), ("status", status)):
+        if v is not None:
+            out = out.filter(F.col(c) == v)
+    out = out.orderBy(F.desc("created_at"), "id")
+    return out if limit is None else out.limit(limit)
+
+
+def run_trace(events: DataFrame, run: str) -> DataFrame:
+    """The step log of a run: the events recorded under its id as session or trace, numbered from 1 in order of time."""
+    w = Window.partitionBy(F.lit(1)).orderBy("ts", "id")
+    mine = events.filter((F.col("session_id") == run) | (F.col("trace_id") == run))
+    return mine.withColumn("step", F.row_number().over(w))
+
+
 def patch_runs(runs: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
     """runs after patches (id, status, result, error, cursor), nulls leave a field; final states set the end."""
     p = patches.select("id", F.struct("status", "result", "error", "cursor").alias("_p"))
@@ -80,30 +105,22 @@ def once(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def workflow_order(nodes: list[dict]) -> list[str]:
-    """Ids of workflow nodes in an order that respects ``deps``: ready nodes by position, first in first out.
+    """Ids of workflow nodes in waves: each wave holds the nodes whose ``deps`` are done, by their place in the list.
 
     An unknown dependency or a cycle is an error. Workflows are small; this runs on the driver.
     """
-    at = {n["id"]: i for i, n in enumerate(nodes)}
-    waits, below = [0] * len(nodes), [[] for _ in nodes]
-    for i, n in enumerate(nodes):
-        for d in n.get("deps") or ():
-            if d not in at:
-                raise ValueError(f"unknown dependency {d}")
-            below[at[d]].append(i)
-            waits[i] += 1
-    ready, out = deque(i for i, w in enumerate(waits) if not w), []
-    while ready:
-        i = ready.popleft()
-        out.append(nodes[i]["id"])
-        freed = []
-        for k in below[i]:
-            waits[k] -= 1
-            if not waits[k]:
-                freed.append(k)
-        ready.extend(sorted(freed))
-    if len(out) != len(nodes):
-        raise ValueError("the workflow has a cycle")
+    place = {n["id"]: i for i, n in enumerate(nodes)}
+    if missing := {d for n in nodes for d in n.get("deps") or ()} - place.keys():
+        raise ValueError(f"unknown dependency {min(missing)}")
+    waves, out = TopologicalSorter({n["id"]: n.get("deps") or () for n in nodes}), []
+    try:
+        waves.prepare()
+    except CycleError as e:
+        raise ValueError("the workflow has a cycle") from e
+    while waves.is_active():
+        wave = sorted(waves.get_ready(), key=place.__getitem__)
+        out += wave
+        waves.done(*wave)
     return out
 
 

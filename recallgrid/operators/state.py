@@ -52,7 +52,8 @@ def delete_keys(log: DataFrame, wanted: DataFrame, now: Column, keys: list[str]
     return hit.select(*keys, F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("version"), F.lit(True).alias("deleted"), now.alias("changed_at"), F.lit(None).cast("timestamp").alias("expires_at"))
 
 
-def list_keys(log: DataFrame, now: Column, agent: str | None = None, limit: int | None = 10_000, keys: list[str] = KEY) -> DataFrame:
+def list_keys(log: DataFrame, now: Column, agent: str | None = None, limit: int | None = None, keys: list[str] = KEY) -> DataFrame:
+    """Current keys in order; all of them unless a limit is asked for."""
     out = current(log, now, keys)
     if agent is not None:
         out = out.filter(F.col("agent_id") == agent)

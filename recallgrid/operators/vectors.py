@@ -21,12 +21,26 @@ def check_dimension(v: Column, dim: int) -> Column:
     return F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.concat(F.lit(f"expected {dim} dimensions, got "), F.size(v).cast("string"))))
 
 
-def upsert(store: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
-    """store with ``rows`` replacing those of equal key; of repeated keys in rows the last by columns stands."""
-    fresh = rows.dropDuplicates([key])
+def upsert(store: DataFrame, rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """store with ``rows`` replacing those of equal key; of repeated keys in rows the last by ``order`` stands.
+
+    Without an order a key may stand once in rows; of repeated ones any stays.
+    """
+    if order is None:
+        fresh = rows.dropDuplicates([key])
+    else:
+        w = Window.partitionBy(key).orderBy(F.desc_nulls_last(order))
+        fresh = rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+        fresh = fresh if order in store.columns else fresh.drop(order)
     return store.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def entries(store: DataFrame, condition: Column | None = None, limit: int | None = None, offset: int = 0, key: str = "id") -> DataFrame:
+    """Stored entries in order of their key, a page of them if asked for."""
+    out = (store if condition is None else store.filter(condition)).orderBy(key).offset(max(offset, 0))
+    return out if limit is None else out.limit(limit)
+
+
 def delete(store: DataFrame, condition: Column) -> DataFrame:
     return store.filter(~F.coalesce(condition, F.lit(False)))
 

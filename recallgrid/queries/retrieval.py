@@ -132,19 +132,20 @@ def answer_f1(spark: SparkSession, d: str) -> DataFrame:
 
 def exact_dup_merge(spark: SparkSession, d: str) -> DataFrame:
     docs = load(spark, d, "documents").filter("text is not null")
-    g = docs.select("doc_id", F.sha2(subject_norm("text"), 256).alias("k")).groupBy("k").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    return g.filter("copies > 1").select("class_id", "copies")
+    k = docs.select("doc_id", F.sha2(subject_norm("text"), 256).alias("k"))
+    g = k.groupBy("k").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    return k.join(g, "k").select("doc_id", "class_id", "copies")
 
 
 def semantic_clusters(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings").withColumn("importance", F.lit(0.5))
-    return vectors.near_duplicate_clusters(e, "label", "vec_id", "embedding", "importance", 0.5)
+    return vectors.near_duplicate_clusters(e, "label", "vec_id", "embedding", "importance", 0.3)
 
 
 def semantic_merge_fold(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.cognition import merge_fold
 
-    return merge_fold(load(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.5)
+    return merge_fold(load(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.3)
 
 
 QUERIES = {
@@ -203,8 +204,8 @@ from fused join documents using (doc_id) order by score desc, doc_id limit 20"""
     "grants_search": "with " + _bm25("documents", "doc_id", "text", f"select 1 as query_id, unnest(['runbook', 'ticket', 'wiki_note']) as scope, '{ASK}' as query", "lower(trim(source))")
     + " select doc_id, round(max(score), 6) as score from scored group by doc_id order by max(score) desc, doc_id limit 20",
     "token_counts": f"select token, count(*) as n from (select unnest({_tokens('text')}) as token from documents) group by token",
-    "exact_dup_merge": r"""select min(doc_id) as class_id, count(*) as copies from documents where text is not null
-group by lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))) having count(*) > 1""",
+    "exact_dup_merge": r"""select doc_id, min(doc_id) over w as class_id, count(*) over w as copies from documents where text is not null
+window w as (partition by lower(trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g'))))""",
     "retrieval_eval": "with s as (select * from locomo_samples qualify row_number() over (partition by sample_id) = 1), tu as (select sample_id, sample_id * 1000 + p - 1 as turn_id, turns[p] as turn from (select sample_id, turns, unnest(range(1, len(turns) + 1)) as p from s) where turns[p] is not null), qa as (select sample_id, sample_id * 1000 + p - 1 as query_id, qa[p].question as query, lower(qa[p].expected) as expected, coalesce(qa[p].category, 0) as category from (select sample_id, qa, unnest(range(1, len(qa) + 1)) as p from s)), "
     + _bm25("tu", "turn_id", "turn", "select query_id, sample_id as scope, query from qa where query is not null", "sample_id")
     + f""", r as (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from ..functions.text import body, file_name, frontmatter, note_title, wikilinks
 
 ITEM = "map<string,string>"
@@ -100,15 +101,22 @@ def render_notes(mem: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write_vault(spark: SparkSession, notes: DataFrame, root: str) -> None:
-    """Write each note as a file, from the executors, through the Hadoop-mounted path of a local or shared folder."""
-    base = root.removeprefix("file://")
+    """Write each note as a file, from the executors, to a folder that they share (file:, s3:, hdfs:, gs:).
+
+    On a cluster a folder of the local disk is refused unless it lies below the shared folder of the session.
+    """
+    uri = root if "://" in root else "file://" + root
+    local = spark.sparkContext.master.startswith("local")
+    if uri.startswith("file:") and not local and not uri.startswith(checkpoint_dir(spark)):
+        raise ValueError("notes of a cluster need a shared folder")
 
     def put(rows):
-        import os
+        from pyarrow import fs
 
-        os.makedirs(base, exist_ok=True)
+        at, base = fs.FileSystem.from_uri(uri)
+        at.create_dir(base, recursive=True)
         for r in rows:
-            with open(os.path.join(base, r["file"]), "w", encoding="utf-8") as f:
-                f.write(r["note"])
+            with at.open_output_stream(f"{base}/{r['file']}") as f:
+                f.write(r["note"].encode())
 
     notes.foreachPartition(put)

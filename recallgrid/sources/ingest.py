@@ -44,6 +44,18 @@ def unembedded(events: DataFrame, vectors: DataFrame | None = None) -> DataFrame
     return out.orderBy("ts", "id")
 
 
+def reindex(events: DataFrame, vectors: DataFrame, text: Column, embedder) -> DataFrame:
+    """Vectors (id, embedding) of the events that have none yet; append them to the vector table."""
+    todo = events.join(vectors.select("id"), "id", "left_anti").select("id", text.alias("_text"))
+    return todo.select("id", embedder(F.col("_text")).alias("embedding")).filter("embedding is not null")
+
+
+def ingest(stored: DataFrame, batch: DataFrame, arrival: str, text: Column, embedder) -> DataFrame:
+    """The whole pipeline of a batch: rows to append, with ``embedding`` and whether it could be made (``embedded``)."""
+    fresh = new_events(stored, batch, arrival).withColumn("embedding", embedder(text))
+    return fresh.withColumn("embedded", F.col("embedding").isNotNull())
+
+
 def _j(path: str) -> Column:
     return F.get_json_object("payload", path)
 

@@ -186,11 +186,22 @@ class SnapshotStore:
 def _digests(spark: SparkSession, files: Files) -> dict[str, str]:
     """SHA-256 of data files, computed where they are read; the manifest itself is left out."""
     names = [n for n in files.tree() if n.endswith(".parquet")]
-    if not names:
-        return {}
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(files.root)
-    at = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
-    return dict(sorted((r[0], r[1]) for r in df.select(at, F.sha2("content", 256)).collect()))
+    root = files.root if "://" in files.root else "file://" + files.root
+
+    def digest(rows):
+        from pyarrow import fs
+
+        for r in rows:
+            at, path = fs.FileSystem.from_uri(f"{root}/{r.name}")
+            h = hashlib.sha256()
+            with at.open_input_stream(path) as f:
+                while part := f.read(1 << 22):
+                    h.update(part)
+            yield r.name, h.hexdigest()
+
+    # a row per file: as many as the manifest lists; files are read in parts, of any size
+    table = spark.createDataFrame([(n,) for n in names], "name string").repartition(max(1, min(len(names), 200)))
+    return dict(sorted(table.rdd.mapPartitions(digest).collect())) if names else {}
 
 
 class ObjectStore:
@@ -252,6 +263,19 @@ class Attachments:
         return r is not None
 
 
+AUDIT = "timestamp timestamp, tenant string, actor string, action string, target string, detail string"
+
+
+def append_audit(store: SnapshotStore, rows: DataFrame) -> None:
+    """Append audit rows (columns of AUDIT, missing ones null) to the store's log; rows without a time or action are an error."""
+    from pyspark.sql.types import StructType
+
+    kinds = {f.name: f.dataType for f in StructType.fromDDL(AUDIT).fields}
+    full = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    sound = F.assert_true(F.col("timestamp").isNotNull() & F.col("action").isNotNull(), "an audit row needs a time and an action").isNull()
+    store.append_log("audit", full.filter(sound))
+
+
 def audit_since(audit: DataFrame, since, tenant: str | None = None) -> DataFrame:
     """Audit rows from a time on, oldest first."""
     out = audit.filter(F.col("timestamp") >= since)

@@ -119,9 +119,10 @@ def every(df: DataFrame, step, checkpoint: str, interval: str | None = None):
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
-def upkeep(store, now: Column, policies: DataFrame, default_days: int = 365, backups: str | None = None, keep: int = 0, half_life_days: float | None = None, name: str | None = None) -> dict[str, int]:
-    """One pass of the lifecycle: retention, expiry of state, decay, a backup. Scheduled from outside."""
+def upkeep(store, now: Column, policies: DataFrame, default_days: int = 365, backups: str | None = None, keep: int = 0, half_life_days: float | None = None, name: str | None = None, embedder=None, text: Column | None = None) -> dict[str, int]:
+    """One pass of the lifecycle: retention, expiry of state, decay, vectors of events that have none, a backup. Scheduled from outside."""
     from ..operators import cognition, runs, state
+    from ..sources.ingest import reindex
 
     out = {}
     if store.current("episodic"):
@@ -142,6 +143,11 @@ def upkeep(store, now: Column, policies: DataFrame, default_days: int = 365, bac
         out["memories"] = after.filter("state = 'expired'").count() - mem.filter("state = 'expired'").count()
         if out["memories"]:
             store.commit("memories", after)
+    if embedder is not None and store.current("episodic"):
+        have = store.read("event_vectors") if store.current("event_vectors") else store.spark.createDataFrame([], "id string, embedding array<float>")
+        new = reindex(store.read("episodic"), have, F.col("payload") if text is None else text, embedder)
+        v = store.commit("event_vectors", have.unionByName(new))
+        out["vectors"] = store.read("event_vectors", v).count() - have.count()
     if backups and name:
         store.backup(backups, name)
         store.prune_backups(store.spark, backups, keep)
