@@ -15,7 +15,7 @@ from .sources.store import SnapshotStore
 
 MEMORY = (
     "id string, tenant_id string, user_id string, agent_id string, session_id string, subject string, content string, importance double, valid_from timestamp, valid_to timestamp, "
-    "state string, supersedes string, source_event_ids array<string>, version long, created_at timestamp, updated_at timestamp, metadata string, mem_type string"
+    "state string, supersedes string, source_event_ids array<string>, version long, created_at timestamp, updated_at timestamp, metadata string, mem_type string, embedding array<float>"
 )
 
 
@@ -26,7 +26,8 @@ class Memory:
     ``all`` flush first. ``now`` may be injected for tests.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tenant: str = "default", user: str | None = None, embedder=hashed_embedding, now=None):
+    def __init__(self, spark: SparkSession, path: str, tenant: str = "default", user: str | None = None, embedder=hashed_embedding, now=None, merge_at: float = 0.92):
+        self.merge_at = merge_at
         self.spark, self.store, self.tenant, self.user, self.embedder = spark, SnapshotStore(spark, path), tenant, user, embedder
         self.now = now or (lambda: datetime.now(timezone.utc))
         self.pending: list[tuple] = []
@@ -63,9 +64,13 @@ class Memory:
         new = self.spark.createDataFrame(rows, "id string, tenant_id string, user_id string, agent_id string, session_id string, subject string, content string, importance double, source_event_ids array<string>, metadata string, mem_type string")
         self.pending = []
         mem = self._table()
-        keyed = cognition.plan_subject_adds(mem, new.filter("subject is not null"), now)
-        plain = cognition.plan_subject_adds(mem.limit(0), new.filter("subject is null"), now)
-        changed = keyed.unionByName(plain)
+        new = new.withColumn("embedding", self.embedder("content") if self.embedder else F.lit(None).cast("array<float>"))
+        keyed = cognition.plan_subject_adds(mem, new.filter("subject is not null").drop("embedding"), now)
+        # vectors are made once, when a text comes in, and stored
+        keyed = keyed.drop("embedding").join(new.select("id", F.col("embedding").alias("_e")), "id", "left").join(mem.select("id", F.col("embedding").alias("_o")), "id", "left")
+        keyed = keyed.withColumn("embedding", F.coalesce("_e", "_o"))
+        plain = cognition.plan_similar_adds(mem, new.filter("subject is null"), now, self.merge_at)
+        changed = keyed.select(*mem.columns, "outcome").unionByName(plain)
         self.store.append_log("memory_changes", changed.select("id", "tenant_id", "user_id", "outcome", "subject"))
         v = self.store.commit("memories", cognition.apply_rows(mem, changed))
         return self.store.read("memories", v).join(changed.select("id", "outcome"), "id")
@@ -87,11 +92,15 @@ class Memory:
 
 
 def hybrid(memories: DataFrame, queries: DataFrame, embedder, now, pool: int = 50, weights: tuple[float, float] = (1.0, 1.0), edges: DataFrame | None = None, blend: tuple[float, float] = (0.3, 0.2)) -> DataFrame:
-    """(query_id, id, score) of many queries: word, vector and graph rankings, fused, cut to a pool, blended."""
+    """(query_id, id, score) of many queries: word, vector and graph rankings, fused, cut to a pool, blended.
+
+    Memories with an ``embedding`` column are searched by it; without one their texts are embedded here.
+    """
     lex = ranking.ranked(ranking.bm25(memories, "id", "content", queries), "query_id", "id", "score")
     arms = [(lex, weights[1])]
     if embedder is not None:
-        vec = vectors.knn(memories.select("id", embedder("content").alias("embedding")), queries.select("query_id", embedder("query").alias("embedding")), pool)
+        store = memories.select("id", "embedding" if "embedding" in memories.columns else embedder("content").alias("embedding"))
+        vec = vectors.knn(store, queries.select("query_id", embedder("query").alias("embedding")), pool)
         arms.append((vec, weights[0]))
     if edges is not None:
         arms.append((ranking.ranked(ranking.graph_arm(edges, queries, "query_id", "query", memories), "query_id", "id", "score"), weights[1]))
