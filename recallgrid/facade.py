@@ -91,12 +91,13 @@ class Memory:
         return [r.asDict() for r in self._table().filter(cognition.in_scope(self.tenant, self.user)).filter("state = 'active'").orderBy("created_at", "id").collect()]
 
 
-def hybrid(memories: DataFrame, queries: DataFrame, embedder, now, pool: int = 50, weights: tuple[float, float] = (1.0, 1.0), edges: DataFrame | None = None, blend: tuple[float, float] = (0.3, 0.2)) -> DataFrame:
+def hybrid(memories: DataFrame, queries: DataFrame, embedder, now, pool: int = 50, weights: tuple[float, float] = (1.0, 1.0), edges: DataFrame | None = None, blend: tuple[float, float] = (0.3, 0.2), postings: ranking.Postings | None = None) -> DataFrame:
     """(query_id, id, score) of many queries: word, vector and graph rankings, fused, cut to a pool, blended.
 
-    Memories with an ``embedding`` column are searched by it; without one their texts are embedded here.
+    Memories with an ``embedding`` column are searched by it; without one their texts are embedded here. ``postings``
+    of the memories save reading the texts.
     """
-    lex = ranking.ranked(ranking.bm25(memories, "id", "content", queries), "query_id", "id", "score")
+    lex = ranking.ranked(postings.search(queries) if postings else ranking.bm25(memories, "id", "content", queries), "query_id", "id", "score")
     arms = [(lex, weights[1])]
     if embedder is not None:
         store = memories.select("id", "embedding" if "embedding" in memories.columns else embedder("content").alias("embedding"))

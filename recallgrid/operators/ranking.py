@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import recency
 from ..functions.text import tokens
+from ..session import Scratch
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -30,6 +31,11 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     stats = sized.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
     terms = asked.select(*scope, "term").distinct()
     tf = sized.select(*scope, "_doc", "dl", F.explode("_toks").alias("term")).join(terms, [*scope, "term"]).groupBy(*scope, "_doc", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
+    return _score(tf, stats, asked, scope, query_id, doc_id)
+
+
+def _score(tf: DataFrame, stats: DataFrame, asked: DataFrame, scope: list[str], query_id: str, doc_id: str) -> DataFrame:
+    """Scores of the counts (scope, _doc, dl, term, f) of asked terms."""
     df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     w = df.join(stats, scope) if scope else df.join(F.broadcast(stats))
     w = w.select(*scope, "term", "avgdl", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0).alias("idf"))
@@ -39,6 +45,41 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     return hit.groupBy(query_id, F.col("_doc").alias(doc_id)).agg(F.sum(part).alias("score")).filter("score > 0")
 
 
+#: Asked terms that are looked up by value in the postings, so that other row groups are skipped; more are joined.
+FEW_TERMS = 2000
+
+
+class Postings:
+    """The words of a corpus as a written table, sorted by term, so that a search reads the asked terms only.
+
+    Columns are scope, _doc, dl, term and f; ``stats`` has one row per scope.
+    Built by one pass over the texts; counts are made map-side.
+    """
+
+    def __init__(self, table: DataFrame, stats: DataFrame, doc_id: str, scope: list[str]):
+        self.table, self.stats, self.doc_id, self.scope = table, stats, doc_id, scope
+
+    @classmethod
+    def build(cls, docs: DataFrame, doc_id: str, text: str, scope: list[str] | None = None) -> "Postings":
+        scope = scope or []
+        scratch = Scratch(docs.sparkSession, "postings")
+        toks = docs.select(*scope, F.col(doc_id).alias("_doc"), tokens(text).alias("_toks"))
+        tf = toks.select(*scope, "_doc", F.size("_toks").alias("dl"), F.explode("_toks").alias("term")).groupBy(*scope, "_doc", "dl", "term").agg(F.count(F.lit(1)).alias("f"))
+        table = scratch.cut(tf.repartitionByRange("term").sortWithinPartitions("term"))
+        n, size = docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n")), table.groupBy(*scope).agg(F.sum("f").alias("size"))
+        both = n.join(size, [c for c in scope], "left") if scope else n.crossJoin(size)  # one row each
+        stats = scratch.cut(both.select(*scope, "n", F.greatest(F.coalesce("size", F.lit(0)) / F.greatest("n", F.lit(1)), F.lit(1.0)).alias("avgdl")))
+        return cls(table, stats, doc_id, scope)
+
+    def search(self, queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
+        """(query_id, doc_id, score), as ``bm25`` gives it."""
+        asked = queries.select(*self.scope, query_id, F.explode(F.array_distinct(tokens(query))).alias("term"))
+        terms = asked.select(*self.scope, "term").distinct()
+        few = [r[0] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+        rows = self.table.filter(F.col("term").isin(few)) if len(few) <= FEW_TERMS else self.table
+        return _score(rows.join(terms, [*self.scope, "term"], "left_semi"), self.stats, asked, self.scope, query_id, self.doc_id)
+
+
 def ranked(arm: DataFrame, query_id: str, doc_id: str, score: str, top: int | None = None) -> DataFrame:
     """arm with ``rank`` from 1 by score, ties by id; only ``top`` ranks if given (pruned before the shuffle)."""
     w = Window.partitionBy(query_id).orderBy(F.desc(score), F.asc(doc_id))

@@ -12,7 +12,7 @@ from ..operators.hierarchy import descendants, resolve_tree
 from ..operators.intervals import periods_and_gaps
 from ..operators.nested import array_items, child_table, element_kinds, schema_graph, shred, table_elements
 from ..operators.sessions import sessionize
-from ..session import Scratch, load
+from ..session import Scratch, file_state, load
 
 PAUSE_US = 30 * 60 * 1_000_000
 
@@ -52,9 +52,7 @@ _SHREDDED: dict[tuple, DataFrame] = {}
 
 def _tables(spark: SparkSession, d: str) -> DataFrame:
     """All tables of the payloads, shredded once per session and state of the file, written by element."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/episodic.parquet")
-    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
-    key = (spark.sparkContext.applicationId, d, at.getModificationTime(), at.getLen())
+    key = file_state(spark, d, "episodic")
     if key not in _SHREDDED:
         tables = table_elements(schema_graph(load(spark, d, "episodic"), "payload"))
         out = shred(_records(spark, d), "id", "payload", tables)

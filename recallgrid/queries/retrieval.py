@@ -10,7 +10,7 @@ from ..facade import hybrid
 from ..functions.scalars import cosine, hashed_embedding
 from ..functions.text import STOP_WORDS, embedding_text, frontmatter, tokens, triples, words
 from ..operators import ranking, vectors
-from ..session import load
+from ..session import Scratch, file_state, load
 
 ASK = "the planner archived snapshots for agents"
 NOW = "2022-01-01 00:00:00"
@@ -20,8 +20,19 @@ def _ask(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, ASK)], "query_id int, query string")
 
 
+_INDEXES: dict[tuple, object] = {}
+
+
+def documents_index(spark: SparkSession, d: str) -> ranking.Postings:
+    """The postings of the documents, built once per session and state of the file."""
+    key = file_state(spark, d, "documents")
+    if key not in _INDEXES:
+        _INDEXES[key] = ranking.Postings.build(load(spark, d, "documents"), "doc_id", "text")
+    return _INDEXES[key]
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = ranking.bm25(load(spark, d, "documents"), "doc_id", "text", _ask(spark))
+    hits = documents_index(spark, d).search(_ask(spark))
     return hits.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -49,7 +60,7 @@ def vector_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _arms(spark: SparkSession, d: str):
-    lex = ranking.ranked(ranking.bm25(load(spark, d, "documents"), "doc_id", "text", _ask(spark)), "query_id", "doc_id", "score")
+    lex = ranking.ranked(documents_index(spark, d).search(_ask(spark)), "query_id", "doc_id", "score")
     q = spark.createDataFrame([(1, _first_vector(spark, d))], "query_id int, embedding array<float>")
     vec = vectors.knn(load(spark, d, "embeddings"), q, 50, id_col="vec_id").withColumnRenamed("id", "doc_id")
     return lex, vec
@@ -71,11 +82,16 @@ def hybrid_blend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def memory_search(spark: SparkSession, d: str) -> DataFrame:
-    """The whole hybrid search over active memories, three queries at once."""
-    mem = load(spark, d, "memories")
-    m = standing_memories(mem, "content", "importance", "updated_at", "state").filter("state = 'active'").select("id", "content", "importance", F.col("updated_at").cast("timestamp").alias("updated_at"))
+    """The whole hybrid search over active memories, three queries at once; vectors and postings are stored."""
+    key = file_state(spark, d, "memories")
+    if key not in _INDEXES:
+        m = standing_memories(load(spark, d, "memories"), "content", "importance", "updated_at", "state").filter("state = 'active'")
+        m = m.select("id", "content", "importance", F.col("updated_at").cast("timestamp").alias("updated_at"), hashed_embedding("content").alias("embedding"))
+        m = Scratch(spark, "memories").cut(m)
+        _INDEXES[key] = (m, ranking.Postings.build(m, "id", "content"))
+    m, words_of = _INDEXES[key]
     q = spark.createDataFrame([(1, "deploy region of the project"), (2, "which time zone changed"), (3, "review owner team")], "query_id int, query string")
-    hits = hybrid(m, q, hashed_embedding, F.lit(NOW).cast("timestamp"))
+    hits = hybrid(m, q, hashed_embedding, F.lit(NOW).cast("timestamp"), postings=words_of)
     top = ranking.ranked(hits, "query_id", "id", "score", 10)
     return top.select("query_id", "id", "rank", F.round("score", 9).alias("score"))
 

@@ -15,7 +15,7 @@ from ..sources import ingest, scans
 from ..streaming import flows
 from .memory import _RUNS, events, memories
 from .problems_sql import EVENTS
-from .retrieval import _BM, ASK, _ask
+from .retrieval import _BM, ASK, _ask, documents_index
 
 
 def hybrid_sql(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def hybrid_sql(spark: SparkSession, d: str) -> DataFrame:
 
     def search(text: str, k: int) -> DataFrame:
         q = spark.createDataFrame([(1, text)], "query_id int, query string")
-        hits = ranking.bm25(load(spark, d, "documents"), "doc_id", "text", q)
+        hits = documents_index(spark, d).search(q)
         return hits.select(F.col("doc_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(k)
 
     sql = f"select lower(trim(d.source)) as source, count(*) as n, round(max(m.score), 6) as best from documents d join memory_search('{ASK}', 40) m on d.doc_id = m.id group by 1"
@@ -59,7 +59,7 @@ def stream_resolve(spark: SparkSession, d: str) -> DataFrame:
 def rag_context(spark: SparkSession, d: str) -> DataFrame:
     """Context for a question: knowledge from the documents, the newest events, what is remembered."""
     docs = load(spark, d, "documents")
-    k = ranking.ranked(ranking.bm25(docs, "doc_id", "text", _ask(spark)), "query_id", "doc_id", "score", 5).join(docs.select("doc_id", "source", F.col("text").alias("content")), "doc_id")
+    k = ranking.ranked(documents_index(spark, d).search(_ask(spark)), "query_id", "doc_id", "score", 5).join(docs.select("doc_id", "source", F.col("text").alias("content")), "doc_id")
     mem = memories(spark, d).filter("state = 'active'")
     q = spark.createDataFrame([(1, "deploy region of the project")], "query_id int, query string")
     m = ranking.ranked(ranking.bm25(mem, "id", "content", q), "query_id", "id", "score", 5).join(mem.select("id", "content"), "id")

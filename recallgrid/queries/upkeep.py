@@ -15,6 +15,7 @@ from ..sources import ingest, scans
 from ..sources.store import SnapshotStore, append_audit, audit_since
 from ..streaming import flows
 from .memory import edges, events, memories, state_log
+from .retrieval import documents_index
 
 NOW = "2018-03-01 00:00:00"
 
@@ -231,9 +232,8 @@ def rerank_pool(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_all(spark: SparkSession, d: str) -> DataFrame:
     """The texts of all documents whose id is divisible by 50 as queries, against all: the ten best of each."""
-    docs = load(spark, d, "documents")
-    q = docs.filter("doc_id % 50 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    top = ranking.ranked(ranking.bm25(docs, "doc_id", "text", q).withColumn("score", F.round("score", 6)), "query_id", "doc_id", "score", 10)
+    q = load(spark, d, "documents").filter("doc_id % 50 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    top = ranking.ranked(documents_index(spark, d).search(q).withColumn("score", F.round("score", 6)), "query_id", "doc_id", "score", 10)
     return top.select("query_id", "doc_id", "score", "rank")
 
 

@@ -57,6 +57,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def file_state(spark: SparkSession, sf_dir: str, table: str) -> tuple:
+    """What tells one state of a table's file from another within a session: for things derived from it and kept."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    at = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return (spark.sparkContext.applicationId, sf_dir, table, at.getModificationTime(), at.getLen())
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: ``spark.checkpoint.dir`` of the session.
 

@@ -172,15 +172,29 @@ class SnapshotStore:
                 self.commit(t, have.join(rows.select(*keys), keys, "left_anti").unionByName(rows))
 
     def move_tenant(self, tenant: str, to: "SnapshotStore", memories_only: bool = False) -> None:
-        """Move a tenant to another store: memories only, or everything."""
+        """Move a tenant to another store: memories only, or everything.
+
+        A table's rows are copied, counted there, and only then removed here; rows of
+        the tenant that an interrupted move left there are replaced, so it may be repeated.
+        """
         for t in ["memories"] if memories_only else self.tables():
             have = self.read(t)
             if "tenant_id" not in have.columns:
                 continue
             mine = F.coalesce("tenant_id", F.lit("default")) == tenant
             rows = have.filter(mine)
-            to.commit(t, to.read(t).unionByName(rows) if to.current(t) else rows)
+            before = to.read(t).filter(~mine | ~F.lit(self._started(to, t, tenant))) if to.current(t) else None
+            self.files.write(f"{t}/_moving", json.dumps({"tenant": tenant, "to": to.files.root}).encode())
+            v = to.commit(t, rows if before is None else before.unionByName(rows))
+            if to.read(t, v).count() != rows.count() + (0 if before is None else before.count()):
+                raise RuntimeError(f"the copy of {t} is not whole")
             self.commit(t, have.filter(~mine))
+            self.files.delete(f"{t}/_moving")
+
+    def _started(self, to: "SnapshotStore", table: str, tenant: str) -> bool:
+        """Whether a move of the tenant's table to that store began and did not end."""
+        data = self.files.read(f"{table}/_moving")
+        return data is not None and json.loads(data) == {"tenant": tenant, "to": to.files.root}
 
 
 def _digests(spark: SparkSession, files: Files) -> dict[str, str]:

@@ -624,3 +624,55 @@ def test_whole_queries_have_stable_schemas(spark):
     first = E.entry(spark)
     assert first.columns == ["event_id", "memory_id"] and first.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_postings_give_what_a_scan_gives(spark):
+    docs = [(1, "the red fox runs", "a"), (2, "red red wine", "a"), (3, None, "a"), (4, "", "b"), (5, "foxes and wine", "b"), (6, "the of", "b"), (7, "red fox", None), (1, "the red fox runs", "a")]
+    df = spark.createDataFrame(docs, "doc_id int, text string, s string").withColumn("term", F.lit(1)).withColumn("n", F.lit(2))
+    q = spark.createDataFrame([(1, "red fox"), (2, "wine wine"), (3, "the"), (4, None)], "query_id int, query string")
+    close = lambda x: sorted((a, b, round(c, 9)) for a, b, c in rows(x))
+    assert close(ranking.Postings.build(df, "doc_id", "text").search(q)) == close(ranking.bm25(df, "doc_id", "text", q)) != []
+    qs = q.crossJoin(spark.createDataFrame([("a",), ("b",)], "s string"))
+    assert close(ranking.Postings.build(df, "doc_id", "text", ["s"]).search(qs)) == close(ranking.bm25(df, "doc_id", "text", qs, scope=["s"]))
+    assert rows(ranking.Postings.build(df.limit(0), "doc_id", "text").search(q)) == []
+
+
+def test_interrupted_move_may_be_repeated(spark, tmp_path):
+    a, b = store.SnapshotStore(spark, f"file://{tmp_path}/a"), store.SnapshotStore(spark, f"file://{tmp_path}/b")
+    a.commit("memories", spark.createDataFrame([("m1", "x"), ("m2", "y"), ("m3", None)], "id string, tenant_id string"))
+    b.commit("memories", spark.createDataFrame([("m9", "x"), ("m8", "z")], "id string, tenant_id string"))
+    commit = a.commit
+    a.commit = lambda *_: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        a.move_tenant("y", b)
+    a.commit = commit
+    a.move_tenant("y", b)
+    assert rows(a.read("memories")) == [("m1", "x"), ("m3", None)]
+    assert rows(b.read("memories")) == [("m2", "y"), ("m8", "z"), ("m9", "x")]
+
+
+def test_merge_on_add_by_brute_force(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    v = r.normal(size=(60, 3))
+    null = F.lit(None).cast("string")
+    t = F.lit("2020-01-01").cast("timestamp")
+    base = spark.createDataFrame([(f"m{i:02}", f"u{i % 2}", [float(x) for x in v[i]], f"s{i}" if i % 3 else None, i / 100, [f"e{i % 4}"]) for i in range(60)], "id string, user_id string, embedding array<float>, subject string, importance double, source_event_ids array<string>")
+    base = base.withColumns({"tenant_id": F.lit("default"), "agent_id": null, "session_id": null, "content": F.col("id"), "metadata": null, "mem_type": null})
+    act = base.filter("id < 'm30'").withColumns({"state": F.when(F.col("id") == "m03", "expired").otherwise("active"), "valid_from": t, "valid_to": F.lit(None).cast("timestamp"), "supersedes": null, "version": F.lit(1), "created_at": t, "updated_at": t})
+    new = base.filter("id >= 'm30'").unionByName(base.filter("id = 'm30'").withColumns({"id": F.lit("m99"), "embedding": F.lit(None).cast("array<float>")}))
+    got = cognition.plan_similar_adds(act, new, t, 0.9)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    near = {}
+    for i in range(30, 60):
+        best = max((float(np.float32(unit[i] @ unit[j])), -j) for j in range(30) if j % 2 == i % 2 and j != 3)
+        if best[0] >= 0.9:
+            near.setdefault(-best[1], []).append((-best[0], i))
+    want = {f"m{min(x)[1]:02}": f"m{j:02}" for j, x in near.items()}
+    res = {x["id"]: x for x in got.collect()}
+    assert {k: x["supersedes"] for k, x in res.items() if x["outcome"] == "Merged"} == want and want
+    assert sorted(k for k, x in res.items() if x["outcome"] == "Closed") == sorted(want.values())
+    for k, j in want.items():
+        assert res[k]["subject"] == (f"s{int(k[1:])}" if int(k[1:]) % 3 else res[j]["subject"]) and set(res[k]["source_event_ids"]) == {f"e{int(k[1:]) % 4}", f"e{int(j[1:]) % 4}"}
+    assert res["m99"]["outcome"] == "Inserted"
