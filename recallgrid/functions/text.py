@@ -100,7 +100,8 @@ def frontmatter(c: Column | str) -> Column:
     """map of the leading ``---`` block's ``key: value`` lines; empty where there is none."""
     block = F.regexp_extract(_c(c), r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
     lines = F.filter(F.split(block, r"\r?\n"), lambda l: l.rlike(r"^[^:]+:"))
-    pairs = F.transform(lines, lambda l: F.struct(F.trim(F.regexp_extract(l, r"^([^:]+):", 1)).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(l, r"^[^:]+:(.*)$", 1)), r'^"+|"+$', "").alias("v")))
+    strip = lambda x: F.regexp_replace(x, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")  # noqa: E731  no-break spaces too
+    pairs = F.transform(lines, lambda l: F.struct(strip(F.regexp_extract(l, r"^([^:]+):", 1)).alias("k"), F.regexp_replace(strip(F.regexp_extract(l, r"^[^:]+:(.*)$", 1)), r'^"+|"+$', "").alias("v")))
     # of a repeated key the last value stands
     keys = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["k"] == k), -1)["v"]))
