@@ -15,8 +15,10 @@ from .sources.store import SnapshotStore
 
 MEMORY = (
     "id string, tenant_id string, user_id string, agent_id string, session_id string, subject string, content string, importance double, valid_from timestamp, valid_to timestamp, "
-    "state string, supersedes string, source_event_ids array<string>, version long, created_at timestamp, updated_at timestamp, metadata string, mem_type string, embedding array<float>"
+    "state string, supersedes string, source_event_ids array<string>, version long, created_at timestamp, updated_at timestamp, metadata string, mem_type string"
 )
+#: A stored memory has the vector of its text.
+STORED = MEMORY + ", embedding array<float>"
 
 
 class Memory:
@@ -37,7 +39,13 @@ class Memory:
         return cls(spark, path, **kw)
 
     def _table(self) -> DataFrame:
-        return self.store.read("memories") if self.store.current("memories") else self.spark.createDataFrame([], MEMORY)
+        if not self.store.current("memories"):
+            return self.spark.createDataFrame([], STORED)
+        df = self.store.read("memories")
+        if "embedding" in df.columns:
+            return df
+        # a table from before vectors were stored gets them here, and keeps them with the next commit
+        return df.withColumn("embedding", self.embedder("content") if self.embedder else F.lit(None).cast("array<float>"))
 
     def add(self, content: str, subject: str | None = None, importance: float | None = None, metadata: str | None = None, mem_type: str | None = None) -> str:
         ident = str(uuid.uuid4())
