@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..entities import micros, standing_events, standing_runs, tenant
 from ..functions import scalars, text
-from ..operators import cognition, graph, ranking, runs, state, vectors
+from ..operators import cognition, graph, lexical, ranking, runs, state, vectors
 from ..plans.sqlgate import Rejected, check, run_sql, substitute, tenant_session
 from ..plans.views import MaterializedViews
 from ..session import Scratch, load
@@ -15,7 +15,6 @@ from ..sources import ingest, scans
 from ..sources.store import SnapshotStore, append_audit, audit_since
 from ..streaming import flows
 from .memory import edges, events, memories, state_log
-from .retrieval import documents_index
 
 NOW = "2018-03-01 00:00:00"
 
@@ -233,8 +232,7 @@ def rerank_pool(spark: SparkSession, d: str) -> DataFrame:
 def bm25_all(spark: SparkSession, d: str) -> DataFrame:
     """The texts of all documents whose id is divisible by 50 as queries, against all: the ten best of each."""
     q = load(spark, d, "documents").filter("doc_id % 50 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    top = ranking.ranked(documents_index(spark, d).search(q).withColumn("score", F.round("score", 6)), "query_id", "doc_id", "score", 10)
-    return top.select("query_id", "doc_id", "score", "rank")
+    return lexical.best(load(spark, d, "documents"), "doc_id", "text", q, 10)
 
 
 # vectors

@@ -6,9 +6,10 @@ import duckdb
 import numpy as np
 import pytest
 
+from compare import duck_rows, spark_rows
 from recallgrid.entities import retries, standing_events
-from recallgrid.operators import graph
-from recallgrid.queries import memory
+from recallgrid.operators import graph, lexical
+from recallgrid.queries import memory, upkeep, upkeep_sql
 from recallgrid.queries.problems_sql import EVENTS
 
 D = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -71,3 +72,42 @@ def test_ids_under_each_others_keys_stand(spark, tmp_path):
     want = sorted(r[0] for r in con.execute(f"with {EVENTS} select id from ev").fetchall())
     assert sorted(r["id"] for r in standing_events(ep).collect()) == want == ["a", "b", "d"]
     assert [tuple(r) for r in retries(ep).collect()] == [("c", "a")]
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written for a shuffle."""
+    sc, none = spark.sparkContext, spark.sparkContext._jvm.java.util.ArrayList
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def write_documents(path, rows):
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    con.execute(f"copy documents to '{path}/documents.parquet' (format parquet)")
+
+
+def test_bm25_all_does_not_move_matches(spark, tmp_path):
+    """Matches grow with the square of the documents; they once were rows of a shuffle."""
+    r = np.random.default_rng(1)
+    write_documents(tmp_path, [(i, " ".join(f"w{x}" for x in r.integers(0, 40, 30))) for i in range(3000)])
+    before = shuffled(spark)
+    assert upkeep.bm25_all(spark, str(tmp_path)).count() == 600
+    assert shuffled(spark) - before < 60_000  # 3,000 documents times 60 queries have 180,000 scores
+
+
+def test_bm25_all_of_odd_documents(spark, tmp_path):
+    """Ids that repeat (with texts of equal and other lengths) or are null, texts that tie, are empty or null."""
+    r = np.random.default_rng(2)
+    text = lambda: " ".join(f"w{x}" for x in r.zipf(1.4, r.integers(1, 25)) % 300)
+    rows = [(int(i), text()) for i in r.integers(0, 700, 1500)] + [(None, text()) for _ in range(3)] + [(50, "x y z"), (50, "y z w1"), (9001, None), (9050, ""), (9100, "the of")]
+    rows += [(i, "the same rare words") for i in [*range(9200, 9230), None]]
+    write_documents(tmp_path, rows)
+    want = duck_rows(upkeep_sql.ORACLE["bm25_all"], str(tmp_path))
+    assert spark_rows(upkeep.bm25_all(spark, str(tmp_path))) == want and len(want[1]) >= 100
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    q = docs.filter("doc_id % 50 = 0 and text is not null").selectExpr("doc_id as query_id", "text as query")
+    assert spark_rows(lexical.best(docs, "doc_id", "text", q, 10, sent_terms=40)) == want  # several scans
+    assert lexical.best(docs.limit(0), "doc_id", "text", q, 10).count() == lexical.best(docs, "doc_id", "text", q.limit(0), 10).count() == 0
