@@ -11,13 +11,14 @@ than the parser allows has no fields; a string that holds a JSON object or
 array stands for that value; a single object in one of the listed fields is an
 array of one; nulls keep their position but give no row; of a repeated key the
 last value counts. Very long texts are kept whole. Any number of element names
-is handled (see ``table_elements``).
+gives the same tables (see ``table_elements``).
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -103,10 +104,8 @@ def schema_graph(df: DataFrame, doc: str, array_fields=ARRAY_FIELDS) -> DataFram
     return part.groupBy("parent", "child", "kind").agg(F.sum("n").alias("n"))
 
 
-#: Composite edges of the schema graph that the driver reads at most (a few MB); larger graphs are reduced by joins.
+#: Composite edges of the schema graph, and elements with a table, that the driver reads at most (a few MB); more are joined.
 MANY_EDGES = 100_000
-#: In a table map: every element of an array has a table, whatever its name.
-ANY = "*"
 
 
 def _loops(edges: list[tuple[str, str]]) -> set[str]:
@@ -177,20 +176,55 @@ def element_kinds(graph: DataFrame, many_edges: int = MANY_EDGES) -> DataFrame:
     return by.join(loops.withColumn("loop", F.lit(True)), "element", "left").select("element", kind.alias("kind")).filter("kind is not null")
 
 
-def table_elements(graph: DataFrame, many_edges: int = MANY_EDGES) -> dict[str, str]:
-    """Element name -> why it has a table.
+def table_elements(graph: DataFrame, many_edges: int = MANY_EDGES) -> dict[str, str] | DataFrame:
+    """Element name -> why it has a table; of more than ``many_edges`` names (data used as keys) a written table of both.
 
-    Of more than ``many_edges`` names (data used as keys) none is left out of
-    the results, but the map can't be sent: then arrays give rows whatever
-    their name, and single objects are inlined.
+    ``shred`` gives the same rows with either.
     """
-    rows = element_kinds(graph, many_edges).limit(many_edges + 1).collect()
-    return {r["element"]: r["kind"] for r in rows} if len(rows) <= many_edges else {ANY: "repeated"}
-
-
-def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool, lists: tuple[str, ...]):
-    every = ANY in tables
-    single = {k: v for k, v in tables.items() if v != "repeated"}
+    kinds = element_kinds(graph, many_edges)
+    rows = kinds.limit(many_edges + 1).collect()
+    return {r["element"]: r["kind"] for r in rows} if len(rows) <= many_edges else Scratch(graph.sparkSession, "elements").cut(kinds)
+
+
+def _names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, element) of (id, doc): the names of objects and arrays of each record."""
+    for pdf in batches:
+        ids, names = [], []
+        for i, text in zip(pdf["id"], pdf["doc"]):
+            own, stack = {TOP: None}, [unwrap(parse(text))]
+            if type(stack[0]) is not dict and type(stack[0]) is not list:
+                continue
+            while stack:
+                v = stack.pop()
+                if type(v) is dict:
+                    for k, x in v.items():
+                        x = unwrap(x)
+                        if type(x) is dict or type(x) is list:
+                            own[k] = None
+                            stack.append(x)
+                else:
+                    stack.extend(x for x in map(unwrap, v) if type(x) is dict or type(x) is list)
+            ids += [i] * len(own)
+            names += own
+        yield pd.DataFrame({"id": pd.Series(ids, dtype=object), "element": pd.Series(names, dtype=object)})
+
+
+def _with_tables(src: DataFrame, tables: DataFrame) -> DataFrame:
+    """src (id, doc, …) with the part of ``tables`` that each record needs, as lists ``elements`` and ``kinds``."""
+    found = src.select("id", "doc").filter("doc is not null").mapInPandas(_names, "id string, element string")
+    own = found.join(tables, "element").groupBy(F.col("id").alias("_id")).agg(F.collect_set(F.struct("element", "kind")).alias("_own"))
+    both = src.join(own, F.col("id").eqNullSafe(F.col("_id")), "left")
+    return both.select(*src.columns, F.col("_own.element").alias("elements"), F.col("_own.kind").alias("kinds"))
+
+
+def _shred(tables: dict[str, str] | None, array_fields: frozenset, columns: bool, lists: tuple[str, ...]):
+    """Without tables, those of a record stand beside it."""
+    given = tables, {k: v for k, v in (tables or {}).items() if v != "repeated"}
+
+    def beside(pdf: pd.DataFrame):
+        for names, kinds in zip(pdf["elements"], pdf["kinds"]):
+            own = {} if names is None else dict(zip(names, kinds))
+            yield own, {k: v for k, v in own.items() if v != "repeated"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -206,7 +240,7 @@ def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool, lists
                         for n, x in enumerate(items):
                             if x is not None:
                                 add(i, name, "value", f"{name}/{n}", "", "", {"value": str(x)})
-            for i, text in zip(pdf["id"], pdf["doc"]):
+            for i, text, (tabled, single) in zip(pdf["id"], pdf["doc"], repeat(given) if tables is not None else beside(pdf)):
                 v = unwrap(parse(text))
                 if type(v) is not dict and type(v) is not list:
                     continue
@@ -244,7 +278,7 @@ def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool, lists
                             t = type(x)
                             p = f"{path}/{at}" if path else str(at)
                             if t is dict:
-                                if every or name in tables:
+                                if name in tabled:
                                     row = {}
                                     add(i, name, "repeated", p, up, near, row)
                                     stack.append((x, p, name, p, p, ((row, ""),)))
@@ -258,7 +292,7 @@ def _shred(tables: dict[str, str], array_fields: frozenset, columns: bool, lists
     return run
 
 
-def shred(df: DataFrame, record_id: str, doc: str, tables: dict[str, str], array_fields=ARRAY_FIELDS, columns: bool = True, lists: tuple[str, ...] = ()) -> DataFrame:
+def shred(df: DataFrame, record_id: str, doc: str, tables: dict[str, str] | DataFrame, array_fields=ARRAY_FIELDS, columns: bool = True, lists: tuple[str, ...] = ()) -> DataFrame:
     """(record_id, element, kind, node_path, parent_path, array_path[, columns]), one row per row of a table.
 
     kind is repeated (an object in an array), shared or recursive (a single
@@ -268,12 +302,15 @@ def shred(df: DataFrame, record_id: str, doc: str, tables: dict[str, str], array
     the nearest object in an array above, or ''. ``columns`` holds the inlined
     fields by dotted name; without it no scalars are read. ``lists`` names list
     columns whose non-null items become rows of kind value, with path
-    name/position.
+    name/position. ``tables`` is what ``table_elements`` gives; a table of them
+    is joined with the names in each record.
     """
     schema = "record_id string, element string, kind string, node_path string, parent_path string, array_path string" + ", columns map<string,string>" * columns
     src = df.select(F.col(record_id).cast("string").alias("id"), F.col(doc).alias("doc"), *[F.col(c).alias(f"list{i}") for i, c in enumerate(lists)])
     if not lists:
         src = src.filter("doc is not null")
+    if isinstance(tables, DataFrame):
+        src, tables = _with_tables(src, tables), None
     return src.mapInPandas(_shred(tables, frozenset(array_fields), columns, tuple(lists)), schema)
 
 

@@ -51,12 +51,12 @@ _SHREDDED: dict[tuple, DataFrame] = {}
 
 
 def _tables(spark: SparkSession, d: str) -> DataFrame:
-    """All tables of the payloads, shredded once per session and state of the file, written by element."""
+    """All tables of the payloads, shredded once per session and state of the file, written by kind, in order of the elements."""
     key = file_state(spark, d, "episodic")
     if key not in _SHREDDED:
         tables = table_elements(schema_graph(load(spark, d, "episodic"), "payload"))
         out = shred(_records(spark, d), "id", "payload", tables)
-        _SHREDDED[key] = Scratch(spark, "tables").cut(out, partition_by=["kind", "element"])
+        _SHREDDED[key] = Scratch(spark, "tables").cut(out.sortWithinPartitions("kind", "element"), partition_by=["kind"])
     return _SHREDDED[key]
 
 

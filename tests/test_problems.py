@@ -14,6 +14,7 @@ from recallgrid.operators.intervals import periods_and_gaps
 from recallgrid.operators.joins import asof_join, range_join
 from recallgrid.operators.nested import child_table, element_kinds, parse, schema_graph, shred, table_elements, unwrap
 from recallgrid.operators.sessions import sessionize
+from recallgrid.queries import QUERIES, problems
 from recallgrid.session import Scratch
 from recallgrid.skew import hot_keys
 
@@ -173,6 +174,41 @@ def test_very_many_names(spark, many):
     assert got.count() == 20_000
 
 
+def nested_texts():
+    """Payloads with repeated, shared and recursive names, on top of DOCS; ids that repeat or are null."""
+    docs = [*DOCS, {"p": {"args": {"q": "1"}}, "calls": [{"args": {"q": "2", "deep": {"z": True}}}]}, {"o": {"args": {"m": [{"v": 1}, [2]]}}}, {"w": {"args": {"q": 3}}}, {"steps": ["s", {"p": {"n": None}}]}]
+    return [(f"e{i}", json.dumps(x)) for i, x in enumerate(docs)] + [("bad", '{"a'), ("none", None), ("scalar", "3"), (None, '{"a": {"x": {"a": {"y": 1}}}}'), ("e0", '{"o": {"p": {"k": [1]}}}')]
+
+
+def test_tables_do_not_depend_on_the_number_of_names(spark):
+    """Beyond the limit of names shared and recursive objects once lost their tables."""
+    df = spark.createDataFrame([(*x, ["t", None]) for x in nested_texts()], "id string, payload string, tags array<string>")
+    graph = schema_graph(df, "payload")
+    few, many = table_elements(graph), table_elements(graph, 2)
+    assert isinstance(few, dict) and {"shared", "recursive", "repeated"} == set(few.values())
+    for columns in (True, False):
+        for lists in ((), ("tags",)):
+            want, got = (rows(shred(df, "id", "payload", t, columns=columns, lists=lists)) for t in (few, many))
+            assert got == want and len(want) > 30
+    part = {k: v for k, v in few.items() if k != "calls"}  # a map that names fewer elements
+    joined = spark.createDataFrame(list(part.items()), "element string, kind string")
+    assert rows(shred(df, "id", "payload", joined)) == rows(shred(df, "id", "payload", part))
+
+
+@pytest.mark.parametrize("query", ["p2_found", "p2_top", "p2_values", "p2_links", "p2_steps", "p2_elements"])
+def test_queries_do_not_depend_on_the_number_of_names(spark, query, tmp_path, monkeypatch):
+    ep = spark.createDataFrame([(*x, n, ["t"]) for n, x in enumerate(nested_texts())], "id string, payload string, n int, tags array<string>")
+    ep = ep.selectExpr("id", "cast(null as string) as tenant_id", "cast(null as string) as idempotency_key", "timestamp_seconds(n) as ingested_at", "payload", "tags")
+    ep.write.parquet(f"{tmp_path}/episodic.parquet")
+    run = lambda: rows(QUERIES[query](spark, str(tmp_path)))
+    want = run()
+    problems._SHREDDED.clear()
+    for name in ("table_elements", "element_kinds"):
+        monkeypatch.setattr(problems, name, lambda graph, f=getattr(problems, name): f(graph, 2))
+    assert run() == want != []
+    problems._SHREDDED.clear()
+
+
 # 3
 
 
